@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup
+from . import ngram_join, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     }
 
