@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import ngram_join, suffix_dedup
+from . import bpe, fingerprints, ngram_join, suffix_dedup, warc
 
 
 def queries() -> dict:
     return {
+        "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op2_bpe": bpe.op2_bpe,
+        "op3_warc": warc.op3_warc,
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     }
