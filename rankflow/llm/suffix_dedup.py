@@ -186,8 +186,8 @@ def repeated_windows(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, leng
 
 
 # ---------------------------------------------------------------- the shards' steps
-def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Ids, ordinals among rows of one id, and bytes of a shard's documents, ordered by id and text."""
+def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], list[int]]:
+    """Ids, ordinals among rows of one id, and bytes of a shard's documents, ordered by id and text; and that order."""
     ids = np.array([-(2**63) if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
     body = [b"" if x is None else x for x in table.column("text").cast(pa.large_binary()).to_pylist()]
     if len(np.unique(ids)) == len(ids):
@@ -198,7 +198,7 @@ def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     new = np.ones(len(ids), bool)
     new[1:] = ids[1:] != ids[:-1]
     seq = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0)) if len(ids) else np.zeros(0, np.int64)
-    return ids, seq, [body[i] for i in order]
+    return ids, seq, [body[i] for i in order], order
 
 
 def _runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +294,7 @@ def _in_shard(length: int, k: int, buckets: int):
             s = docs.column("s")[0].as_py()
             multi = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in values.column("multi").to_pylist()]))
             any_ = np.sort(np.concatenate([multi, *(np.frombuffer(x, np.uint64) for x in values.column("own").to_pylist())]))
-            ids, seq, body = _ordered(docs)
+            ids, seq, body, _ = _ordered(docs)
             blocks, now, size = [], [], 0
             for d, x in enumerate(body):
                 if len(x) < length:
@@ -422,11 +422,15 @@ def _merge(length: int):
 _OUT_SQL = "doc_id long, ordinal int, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_text binary"
 
 
-def _cut_out(length: int, keep_text: bool):
+def _char_start(x: bytes, i: int) -> bool:
+    return i >= len(x) or x[i] & 0xC0 != 0x80
+
+
+def _cut_out(length: int, keep_text: bool, whole_chars: bool, carry: list[str]):
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def step(docs: pa.Table, gone: pa.Table) -> pa.Table:
-        ids, seq, body = _ordered(docs) if docs.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+        ids, seq, body, rows = _ordered(docs) if docs.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), [], [])
         by: dict[tuple[int, int], list] = {}
         if gone.num_rows:
             gi, gs, gp, gc = (np.concatenate([np.frombuffer(x, np.int64) for x in gone.column(c).to_pylist()]) for c in ("ids", "seq", "pos", "cnt"))
@@ -446,6 +450,12 @@ def _cut_out(length: int, keep_text: bool):
             top = np.maximum.accumulate(e)
             new = np.concatenate([[True], a[1:] > top[:-1]])
             sa, se = a[new], top[np.append(np.flatnonzero(new)[1:] - 1, len(top) - 1)]
+            if whole_chars:  # a character that is not removed whole stays whole
+                for i in range(len(sa)):
+                    while sa[i] < se[i] and not _char_start(x, sa[i]):
+                        sa[i] += 1
+                    while se[i] > sa[i] and not _char_start(x, se[i]):
+                        se[i] -= 1
             n_removed.append(int((se - sa).sum()))
             lists.append([{"start": int(i), "end": int(j)} for i, j in zip(sa, se)])
             kept.append(b"".join(x[i:j] for i, j in zip([0, *se.tolist()], [*sa.tolist(), len(x)])))
@@ -459,23 +469,28 @@ def _cut_out(length: int, keep_text: bool):
                 "spans": pa.array(lists, spans),
                 "kept_text": pa.array(kept if keep_text else [hashlib.sha256(x).hexdigest().encode() for x in kept], pa.binary()),
             }
+            | ({c: docs.column("_" + c).take(pa.array(rows, pa.int64())) for c in carry} if docs.num_rows else {c: pa.nulls(0) for c in carry})
         )
 
     return step
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, digest_only: bool = False) -> DataFrame:
-    """doc_id, ordinal (among rows of one doc_id), n_bytes, n_removed, spans (removed byte runs), kept_text (the bytes left, or their SHA-256 in hex with digest_only)."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, digest_only: bool = False, whole_chars: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ordinal (among rows of one doc_id), n_bytes, n_removed, spans (removed byte runs), kept_text (the bytes left, or their SHA-256 in hex with digest_only), and the columns to carry.
+
+    With whole_chars the runs are narrowed to whole characters, so that what is left is valid UTF-8.
+    """
     k = GRAM
     while k > length:
         k //= 2
     n = shard_count(docs, text)
-    dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(n)).cast("int").alias("s"))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    dealt = docs.select(*(F.col(c).alias("_" + c) for c in carry), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(n)).cast("int").alias("s"))
     values = dealt.groupBy("s").applyInArrow(_values_of(length, k, n), "b int, s int, once binary, more binary")
     shared = values.groupBy("b").applyInArrow(_shared_values, "s int, multi binary, own binary")
     steps = dealt.groupBy("s").cogroup(shared.groupBy("s")).applyInArrow(_in_shard(length, k, n), _STEP_SQL)
     gone = steps.groupBy("b").applyInArrow(_merge(length), "s int, ids binary, seq binary, pos binary, cnt binary")
-    return dealt.groupBy("s").cogroup(gone.groupBy("s")).applyInArrow(_cut_out(length, not digest_only), _OUT_SQL)
+    return dealt.groupBy("s").cogroup(gone.groupBy("s")).applyInArrow(_cut_out(length, not digest_only, whole_chars, list(carry)), ", ".join([_OUT_SQL, *(f"`{c}` {kinds[c]}" for c in carry)]))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
