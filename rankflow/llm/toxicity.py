@@ -189,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     chosen = marks.where(F.expr("false"))
     for q, n in total.items():
         chosen = chosen.union(marks.where((F.col("toxic") == q) & (part < int(1_000_000 * min(1.0, FIT_ROWS / n)))))
-    rows = docs.select("doc_id", "text", "lang").join(chosen, "doc_id").collect()
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").collect()  # about 2 * FIT_ROWS ids
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     order = np.random.default_rng(5).permutation(len(rows))
     rows = [rows[i] for i in order]
