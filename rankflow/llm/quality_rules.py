@@ -62,7 +62,8 @@ def with_grams(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """The log ratio of each bucket; docs (doc_id, text), trusted (doc_id).  One row a bucket reaches the driver."""
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id").distinct().withColumn("t", F.lit(1)), "doc_id", "left")
+    # a merge join at every size: the trusted ids have no bound, so they are never broadcast
+    marked = docs.select("doc_id", "text").join(trusted.select("doc_id").distinct().withColumn("t", F.lit(1)).hint("merge"), "doc_id", "left")
     exploded = with_grams(marked.withColumn("words", words_of("text")), buckets).select(F.coalesce("t", F.lit(0)).alias("t"), F.explode_outer("grams").alias("g")).where("g is not null")
     # (the plain explode adds a condition on grams that is pushed below, where it makes the words anew for each pair)
     rows = exploded.groupBy("g").agg(F.count("*").alias("r"), F.sum("t").alias("t")).collect()
