@@ -68,7 +68,9 @@ def streams(docs: DataFrame, parts: int) -> DataFrame:
 def slots_of(spark, plan: DataFrame, total: int, key: str) -> DataFrame:
     """One row a slot: sid, j (slot of the source), block, shard and slot of the output.  plan: sid, blocks, slots, before."""
     chunk = 4096
-    s = plan.where("slots > 0").select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {chunk})")).alias("c")).repartition("sid", "c")
+    # a set number of parts: by their size before they grow, adaptive execution would put all chunks together
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 200_000)
+    s = plan.where("slots > 0").select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {chunk})")).alias("c")).repartition(parts, "sid", "c")
     s = s.select("sid", "blocks", "before", F.explode(F.expr(f"sequence(c * {chunk}, least((c + 1) * {chunk}, slots) - 1)")).alias("j"))
     s = s.withColumn("pass", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks")).withColumn("g", F.expr("before + j"))
     s = shuffled(s, "i", "blocks", f"'{key}', sid, pass", "block")
