@@ -28,7 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of whole texts stay small on both sides: the session's limit is lowered where it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shard_count(docs: DataFrame, text: str, target: int = 4 << 20) -> int:
     """Shards of about `target` bytes of text, two for each shuffle partition at least."""
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     return int(max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // target)))

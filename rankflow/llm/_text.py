@@ -6,6 +6,7 @@ documents, concatenated, with their offsets.  Nothing is ever cut from a documen
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text worked on at once; a longer document makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -29,15 +30,19 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse modulo 2**64."""
-    if len(_powers.get("p", ())) < n:
-        m = max(n, CHUNK_BYTES + 1024)
-        for name, base in (("p", _BASE), ("i", _BASE_INV)):
-            steps = np.full(m, base)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
+    if n > CHUNK_BYTES + 1024:  # for one long text: not kept
+        return _accumulated(_BASE, n), _accumulated(_BASE_INV, n)
+    if not _powers:
+        _powers.update(p=_accumulated(_BASE, CHUNK_BYTES + 1024), i=_accumulated(_BASE_INV, CHUNK_BYTES + 1024))
     return _powers["p"][:n], _powers["i"][:n]
 
 
+def _accumulated(base: np.uint64, n: int) -> np.ndarray:
+    steps = np.full(n, base)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective)."""
     h = h ^ (h >> U(30))
@@ -47,6 +52,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system where the C library can: workers stay from one step to the next."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def text_array(column) -> pa.Array:
     """One contiguous large_string array; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,6 +83,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         b = min(b, n)
         yield a, b, raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
+    give_back()
 
 
 def lower_ascii(raw: np.ndarray) -> np.ndarray:

@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._spark import small_batches
 
 LEAF = 64
 #: Words kept by a worker; when there are more the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Characters whose normal form, lower case and class are plain: texts of these take the quick way.
 _LETTERS = "a-zß-öø-ÿœšž"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡¿«»°§–—‘’“”…€À-ÖØ-öø-ÿŒœŠšŸŽž]*")
@@ -149,6 +150,11 @@ class WordCodec:
                     out += self.piece(p)
         return out
 
+    def forget(self) -> None:
+        """Empties the cache at the end of a task: the worker goes on with other steps."""
+        self.ids, self.said = {}, {}
+        _text.give_back()
+
     def encode_batch(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text, of each."""
         split, new = [], set()
@@ -192,6 +198,7 @@ def _codec(source: str) -> WordCodec:
 def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, the columns of `keep`, ids (little-endian unsigned 32-bit integers) and decoded of every row; tokenizer: path of a file of the tokenizers library."""
     keep = [doc_id, *(keep or [])]
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -203,6 +210,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 ids, said = codec.encode_batch(texts.slice(a, b - a).to_pylist())
                 cols = [batch.column(c).slice(a, b - a) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary()), pa.array(said, pa.string())], [*keep, "ids", "decoded"])
+        codec.forget()
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids binary", "decoded string"])

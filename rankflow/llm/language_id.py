@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._spark import small_batches
 from ._text import U, mix
 
 ORDER = 4
@@ -106,7 +107,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                         size += len(head)
                 if len(held.get(lang, [])) > 8:
                     held[lang] = [merged(held[lang])]
-            if sum(len(p[0]) for parts in held.values() for p in parts) > 1 << 22:
+            if sum(len(p[0]) for parts in held.values() for p in parts) > 1 << 21:
                 yield from flush()
                 held = {}
         yield from flush()
@@ -115,10 +116,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Sorted hashes with an index on their leading bits."""
+    """Sorted hashes with an index on their leading bits, one entry a hash or two."""
 
-    def __init__(self, keys: np.ndarray, bits: int = 20):
-        h = mix(keys)
+    def __init__(self, keys: np.ndarray):
+        h, bits = mix(keys), max(8, int(len(keys)).bit_length())
         self.order = np.argsort(h)
         self.h, self.shift = h[self.order], U(64 - bits)
         self.start = np.searchsorted(self.h >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
@@ -239,6 +240,7 @@ class Models:
 def learn(docs: DataFrame) -> Models:
     """Models from the text and lang of every row given."""
     docs = docs.where("lang is not null and text is not null")
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     counts = count_grams(docs).persist()
     levels = counts.groupBy("lang", F.floor(F.log2("c")).cast("int").alias("l")).agg(F.count("*").alias("k")).collect()
@@ -283,7 +285,7 @@ def identify(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def step(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             rows = list(shared.value.classify(_text.text_array(batch.column(text))))
             made = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "score", "cross_entropy", "accepted"])

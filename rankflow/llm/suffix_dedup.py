@@ -318,6 +318,7 @@ def _in_shard(length: int, k: int, buckets: int):
                 blocks.append(now)
             for block in blocks:
                 _block(block, ids, seq, multi if len(blocks) == 1 else any_, length, buckets, s, put)
+        _text.give_back()
         return pa.Table.from_pydict(rows, schema=_STEP)
 
     return step
@@ -414,6 +415,7 @@ def _merge(length: int):
                 out["s"].append(int(shard[c[i]]))
                 for name, v in (("ids", ids[c[o]]), ("seq", seq[c[o]]), ("pos", pos[c[o]] + x[o] - first[c[o]]), ("cnt", y[o] - x[o])):
                     out[name].append(np.asarray(v, np.int64).tobytes())
+        _text.give_back()
         return pa.table({"s": pa.array(out["s"], pa.int32())} | {c: pa.array(out[c], pa.binary()) for c in ("ids", "seq", "pos", "cnt")})
 
     return step
@@ -483,7 +485,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     k = GRAM
     while k > length:
         k //= 2
-    n = shard_count(docs, text)
+    n = shard_count(docs, text, 2 << 20)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     dealt = docs.select(*(F.col(c).alias("_" + c) for c in carry), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(n)).cast("int").alias("s"))
     values = dealt.groupBy("s").applyInArrow(_values_of(length, k, n), "b int, s int, once binary, more binary")
