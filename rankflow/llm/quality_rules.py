@@ -2,7 +2,8 @@
 
 Words and pairs of words are hashed into `BUCKETS` buckets.  Two multinomials over buckets, one of the trusted documents and one of the whole
 corpus, give each bucket a log ratio; a document's score is the mean over its n-grams.  A document is kept if no counting rule
-fails and its score is not below the limit: the `QUANTILE` of the trusted documents' scores less `MARGIN`.  The same input always gives the
+fails and its score is not below the limit.  One third of the trusted documents, by a hash of the id, teaches no ratio and sets the limit:
+the `QUANTILE` of their scores less `MARGIN` and their standard deviation (documents that were learnt from score higher than others like them).  The same input always gives the
 same verdicts: counts are exact, scores are compared after rounding to a thousandth.
 
 Edge cases: null, empty and wordless texts have zero counts and fail the base rules; without trusted documents every ratio is 0
@@ -79,19 +80,22 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> l
 def judge(docs: DataFrame, trusted: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, the counts, base_failed, score (null without n-grams), limit and kept of every row."""
     docs = docs.select("doc_id", F.col(text).alias("text"))
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
     # one literal of BUCKETS numbers, folded once; a scalar subquery would be read again for each n-gram
-    ratios = "cast(split('" + ",".join(map(repr, log_ratios(docs, trusted))) + "', ',') as array<double>)"
+    ratios = "cast(split('" + ",".join(map(repr, log_ratios(docs, trusted.where(~third)))) + "', ',') as array<double>)"
     df = with_grams(with_counts(docs))
     df = df.withColumn("score", F.expr(f"if(n_words = 0, null, round(aggregate(grams, 0D, (a, g) -> a + get({ratios}, g)) / size(grams), 3))"))
     df = df.withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > 30 * n_words"))
     df = cut(df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score"))
     # exact quantile from the histogram of rounded scores: a row for each thousandth at most
-    seen = df.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").where("score is not null").groupBy("score").count().collect()
+    seen = df.join(trusted.where(third).select("doc_id").distinct(), "doc_id", "left_semi").where("score is not null").groupBy("score").count().collect()
     total, limit, n = sum(r["count"] for r in seen), -math.inf, 0
+    mean = sum(r.score * r["count"] for r in seen) / max(1, total)
+    spread = math.sqrt(sum((r.score - mean) ** 2 * r["count"] for r in seen) / max(1, total))
     for r in sorted(seen, key=lambda r: r.score):
         n += r["count"]
         if n > QUANTILE * total:
-            limit = r.score - MARGIN
+            limit = round(r.score - MARGIN - spread, 3)
             break
     return df.withColumn("limit", F.lit(limit)).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.col("limit")))
 
