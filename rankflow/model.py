@@ -1,7 +1,7 @@
 """Schemas of the task-graph tables and the bundle that operators take.
 
 Rank is a column, not a shard: tasks, edges and blocks are global tables, and `rank_info` lists every rank, so that an empty one
-still counts.  The reference model's -1 sentinels are nulls here.
+still counts.  An unknown rank is null.
 """
 
 from __future__ import annotations

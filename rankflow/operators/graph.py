@@ -19,6 +19,17 @@ def first_tasks(raw: DataFrame, columns: list[str]) -> DataFrame:
     return raw.groupBy("task_id").agg(F.min_by(F.struct(*columns), "seq").alias("x")).select("task_id", "x.*")
 
 
+def merge_shards(task: DataFrame, edge: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One task, edge and rank_info table of shards that overlap; each input has a column shard, whose order settles who wins.
+
+    Of a task the first shard counts, of an edge the last one's volume; footprints of a rank add up, and its largest memory holds.
+    """
+    tasks = first_tasks(task.withColumnRenamed("shard", "seq"), [c for c in task.columns if c not in ("task_id", "shard")])
+    edges = upsert_edges(edge.withColumnRenamed("shard", "seq"))
+    ranks = info.groupBy("rank").agg(F.sum("footprint_bytes").alias("footprint_bytes"), F.max("max_memory").alias("max_memory"))
+    return tasks, edges, ranks
+
+
 def symmetrize(t: Tables) -> DataFrame:
     """holder, from_task, to_task, volume: every edge at the ranks of both ends."""
     e = edge_ranks(t)

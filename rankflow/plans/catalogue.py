@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CMF, BalanceConfig, Criterion, Ordering, WorkModel
 from ..functions import dot
 from ..operators import clustering, clusters, gossip, graph, rebalance, rules, whatif, work
+from ..sources import synthetic
 from ..sources.part_graph import SQL, line_edges, part_graph
 from ..streaming.phases import phase_loads
 
@@ -197,3 +198,23 @@ def _phases(spark, sf_dir):
 
 QUERIES["q50_phase_stats"] = _phases
 ORACLES["q50_phase_stats"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS phase, CAST(user_id%8 AS INT) AS rank, CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT) AS load, count(*) AS n FROM events GROUP BY ALL"
+
+
+# ---------------------------------------------------------------- overlapping shards, made graphs
+def _shards(t):
+    """Shard s holds the tasks of ranks s and s - 1, the edges of its rank, and half of each rank's footprint and memory entries."""
+    task = t.task.select("task_id", "rank", "load", F.explode(F.array("rank", F.col("rank") + 1)).alias("shard")).withColumn("load", F.col("load") + F.col("shard"))
+    edge = graph.symmetrize(t).select("from_task", "to_task", (F.col("volume") + F.col("holder")).alias("volume"), F.col("holder").alias("shard"))
+    info = t.rank_info.select((F.col("rank") % 4).cast("int").alias("rank"), "footprint_bytes", (F.col("max_memory") + F.col("rank")).alias("max_memory"), F.col("rank").alias("shard"))
+    return graph.merge_shards(task, edge, info)
+
+
+query("q51_merge_tasks", "SELECT task_id, rank, CAST(load+rank AS BIGINT) AS load FROM task")(lambda t: _long(_shards(t)[0], "load"))
+query("q51_merge_edges", "SELECT from_task, to_task, CAST(volume+greatest(from_rank,to_rank) AS BIGINT) AS volume FROM er")(lambda t: _shards(t)[1])
+query("q51_merge_ranks", "SELECT CAST(rank%4 AS INT) AS rank, CAST(sum(footprint_bytes) AS BIGINT) AS footprint_bytes, max(max_memory+rank) AS max_memory FROM rank_info GROUP BY ALL")(lambda t: _shards(t)[2])
+
+QUERIES["q52_synthetic_tasks"] = lambda spark, sf_dir: synthetic.tasks(spark).select("task_id", "block_id", "rank", _r("load", 6), "mem_working")
+QUERIES["q52_synthetic_blocks"] = lambda spark, sf_dir: synthetic.blocks(spark)
+QUERIES["q52_synthetic_edges"] = lambda spark, sf_dir: synthetic.graph(spark).edge
+for _n, _q in (("tasks", "SELECT task_id, block_id, rank, round(load,6) AS load, mem_working FROM st"), ("blocks", "SELECT * FROM sb"), ("edges", "SELECT * FROM se")):
+    ORACLES[f"q52_synthetic_{_n}"] = f"WITH {synthetic.oracle()}\n{_q}"
