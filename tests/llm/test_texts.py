@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import uuid
 
 import numpy as np
 import pytest
@@ -128,7 +129,8 @@ def test_warc_round_trip_by_any_split(spark):
     rnd = random.Random(5)
     rows = [(i, None if i % 9 == 0 else f"http://x/{i}\r\n", rnd.choice([None, "", "<p>a</p>", "x" * rnd.randint(0, 9000)])) for i in range(300)] + [(None, "u", "alone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    manifest = warc.write_warc(warc.with_revisits(pages), warc.shared_dir(spark) + "/test-warc", roll_bytes=20_000)
+    folder = f"{warc.shared_dir(spark)}/test-warc-{uuid.uuid4().hex}"  # the shared folder may outlive a run
+    manifest = warc.write_warc(warc.with_revisits(pages), folder, roll_bytes=20_000)
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     whole = sorted(map(str, warc.read_warc(manifest).select(*cols).collect()))
     assert whole == sorted(map(str, warc.read_warc(manifest, split_bytes=700).select(*cols).collect()))
@@ -141,8 +143,8 @@ def test_warc_round_trip_by_any_split(spark):
         assert r.payload_bytes == len(h) and r.payload_digest == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
         lead = first.get(h, r.page_id)
         assert (r.record_type, r.refers_to) == (("response", None) if lead == r.page_id else ("revisit", lead))
-    assert warc.archive_files(spark, warc.shared_dir(spark) + "/test-warc").count() == manifest.count()
-    assert warc.read_warc(warc.write_warc(warc.with_revisits(pages.limit(0)), warc.shared_dir(spark) + "/test-none")).count() == 0
+    assert warc.archive_files(spark, folder).count() == manifest.count()
+    assert warc.read_warc(warc.write_warc(warc.with_revisits(pages.limit(0)), folder + "-none")).count() == 0
 
 
 # ---------------------------------------------------------------- 4: n-gram join
