@@ -27,6 +27,8 @@ from ._spark import cut, shared_dir
 
 _MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 18
+#: Bytes inflated at once: a small member costs no copy of the range behind it.
+_PIECE = 1 << 14
 
 
 def _open(path: str):
@@ -96,14 +98,12 @@ def _member(data: bytes, at: int, more):
         if not head.startswith(b"WARC/1."):
             return None
         z, body, fed = zlib.decompressobj(31), [], at
-        while True:
-            body.append(z.decompress(data[fed:]))
-            fed = len(data)
-            if z.eof:
-                break
-            data = more()
-            if data is None:
+        while not z.eof:
+            if fed == len(data) and (data := more()) is None:
                 return None
+            piece = data[fed : fed + _PIECE]
+            body.append(z.decompress(piece))
+            fed += len(piece)
     except zlib.error:
         return None
     whole = b"".join(body)
