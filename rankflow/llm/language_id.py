@@ -4,7 +4,7 @@ Texts become letters in lower case, with one boundary symbol between runs of let
 training documents, discounted per order and interpolated with continuation counts below.  A model keeps sorted arrays of hashes: of
 the grams of each order, with log probabilities for every language, and of their contexts, with log interpolation weights for what
 follows a context unseen.  A text gets the language of the lowest cross-entropy a symbol; it is rejected if that exceeds the language's
-limit, which is calibrated on a bounded sample of training documents.
+limit, which is calibrated on a bounded sample of distinct training texts.
 
 The model has `MOST_GRAMS` 4-grams at most (rarer ones are pruned evenly, by powers of two of their count), which bounds what the
 driver gathers and executors receive; counts themselves cover every training document.
@@ -26,7 +26,7 @@ from ._text import U, mix
 
 ORDER = 4
 MOST_GRAMS = 1 << 22
-#: Documents that the rejection limits are calibrated on, about.
+#: Texts that the rejection limits are calibrated on, about.
 CALIBRATION_ROWS = 4000
 #: The limit is this quantile of the cross-entropy of a language's own documents, with slack.
 QUANTILE, SLACK = 0.995, 1.3
@@ -265,7 +265,8 @@ def learn(docs: DataFrame) -> Models:
     if langs:
         n = docs.count()
         every = max(1, n // CALIBRATION_ROWS)
-        sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+        # each text once: a text with very many copies would otherwise set its language's limit alone
+        sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("lang", "text").distinct()
         shared = spark.sparkContext.broadcast(models)
 
         def step(batches):
@@ -274,7 +275,7 @@ def learn(docs: DataFrame) -> Models:
                 right = [(a[0], a[2]) for a, lang in zip(rows, batch.column("lang").to_pylist()) if a[0] == lang]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in right], pa.string()), pa.array([r[1] for r in right], pa.float64())], ["lang", "h"])
 
-        own = sample.select("lang", "text").mapInArrow(step, "lang string, h double").groupBy("lang").agg(F.percentile("h", F.lit(QUANTILE)).alias("q"))
+        own = sample.mapInArrow(step, "lang string, h double").groupBy("lang").agg(F.percentile("h", F.lit(QUANTILE)).alias("q"))
         for r in own.collect():
             models.limit[models.langs.index(r.lang)] = r.q * SLACK
     return models
