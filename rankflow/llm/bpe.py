@@ -26,7 +26,7 @@ from . import _text
 from ._spark import small_batches
 
 LEAF = 64
-#: Words kept by a worker; when there are more the cache starts anew.
+#: Words kept by a worker; when there would be more the cache starts anew before a batch, whose own words it holds all, however many.
 CACHE_WORDS = 150_000
 #: Characters whose normal form, lower case and class are plain: texts of these take the quick way.
 _LETTERS = "a-zß-öø-ÿœšž"
@@ -116,9 +116,6 @@ class WordCodec:
 
     # ------------------------------------------------------------ texts
     def _learn(self, words: list[str]) -> None:
-        if len(self.ids) + len(words) > CACHE_WORDS:
-            self.ids.clear()
-            self.said.clear()
         short = [w for w in words if len(w) <= LEAF]
         for i in range(0, len(short), 20_000):
             some = short[i : i + 20_000]
@@ -165,10 +162,12 @@ class WordCodec:
                 new.update(w)
             else:
                 split.append(None)
-        if missing := [w for w in new if w not in self.ids]:
-            self._learn(missing)
-            if any(w not in self.ids for w in new):  # the cache began anew: all of this batch again
-                self._learn([w for w in new if w not in self.ids])
+        missing = [w for w in new if w not in self.ids]
+        if self.ids and len(self.ids) + len(missing) > CACHE_WORDS:
+            self.ids.clear()
+            self.said.clear()
+            missing = list(new)
+        self._learn(missing)
         ids, said = [], []
         for t, w in zip(texts, split):
             if w is None:

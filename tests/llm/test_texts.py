@@ -113,6 +113,16 @@ def test_bpe_equals_the_library(tokenizer):
         assert struct.pack(f"<{len(e)}I", *e) == i and tok.decode(e, skip_special_tokens=False) == s
 
 
+def test_bpe_with_more_words_than_the_cache_holds(tokenizer, monkeypatch):
+    path, tok = tokenizer
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 8)
+    codec = bpe.WordCodec(open(path).read())
+    for texts in (["one two three"], ["one four five six seven eight nine ten eleven", "two twelve"], ["one two"], [""]):
+        for t, i in zip(texts, codec.encode_batch(texts)[0]):
+            e = tok.encode(t, add_special_tokens=False).ids
+            assert struct.pack(f"<{len(e)}I", *e) == i
+
+
 def test_bpe_on_hard_rows(hard, none, tokenizer):
     path, tok = tokenizer
     got = sorted((str(r.doc_id), bytes(r.ids)) for r in bpe.encode(hard, path).collect())
