@@ -1,13 +1,13 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Texts become letters in lower case, with one boundary symbol between runs of letters.  Each language has 4-gram counts over all its
-training documents, discounted per order and interpolated with continuation counts below.  A model keeps sorted arrays of hashes: of
-the grams of each order, with log probabilities for every language, and of their contexts, with log interpolation weights for what
+training documents, discounted per order and interpolated with continuation counts below.  A model keeps sorted arrays of keys: of
+the grams of each order, with discounted counts for every language, and of their contexts, with totals and interpolation weights for what
 follows a context unseen.  A text gets the language of the lowest cross-entropy a symbol; it is rejected if that exceeds the language's
 limit, which is calibrated on a bounded sample of distinct training texts.
 
-The model has `MOST_GRAMS` 4-grams at most (rarer ones are pruned evenly, by powers of two of their count), which bounds what the
-driver gathers and executors receive; counts themselves cover every training document.
+The model has every gram of the training documents.  Its arrays are files of the shared folder, in parts by the key's remainder, which
+workers map into memory; the driver gets their paths and a few sums.
 
 Edge cases: null texts and texts without a letter are `und` with score 0 and not accepted; so is every text when there is nothing to learn
 from; rows with a null lang teach nothing; null ids are held out; repeated rows count as often as they are there.
@@ -15,17 +15,22 @@ from; rows with a null lang teach nothing; null ids are held out; repeated rows
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import small_batches
-from ._text import U, mix
+from ._spark import cut, shared_dir, small_batches
+from ._text import U
 
 ORDER = 4
-MOST_GRAMS = 1 << 22
+#: Rows of a part of a model's table, about, and the numbers of parts (primes: keys are dealt by remainder).
+PART_ROWS = 1 << 20
+PARTS = (1, 7, 29, 61, 127, 509, 2039, 8191)
 #: Texts that the rejection limits are calibrated on, about.
 CALIBRATION_ROWS = 4000
 #: The limit is this quantile of the cross-entropy of a language's own documents, with slack.
@@ -115,101 +120,90 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(step, "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
 
 
-class Lookup:
-    """Sorted hashes with an index on their leading bits, one entry a hash or two."""
-
-    def __init__(self, keys: np.ndarray):
-        h, bits = mix(keys), max(8, int(len(keys)).bit_length())
-        self.order = np.argsort(h)
-        self.h, self.shift = h[self.order], U(64 - bits)
-        self.start = np.searchsorted(self.h >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places in the arrays, -1 for unknown keys."""
-        h = mix(keys)
-        b = (h >> self.shift).astype(np.int64)
-        at, stop = self.start[b], self.start[b + 1]
-        out = np.full(len(keys), -1, np.int32)
-        rest = np.flatnonzero(at < stop)
-        at, stop, h = at[rest], stop[rest], h[rest]
-        while len(rest):
-            hit = self.h[at] == h
-            out[rest[hit]] = at[hit]
-            go = ~hit & (at + 1 < stop)
-            rest, at, stop, h = rest[go], at[go] + 1, stop[go], h[go]
-        return out
+def discount(ones: int, twos: int) -> float:
+    """Kneser-Ney's absolute discount of an order, from the grams seen once and twice."""
+    return min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
+
+
+def _lower(n: int) -> int:
+    """Mask of the last n symbols of a gram."""
+    return (1 << (16 * n)) - 1
+
+
+def _table(key: np.ndarray, lang: np.ndarray, values: np.ndarray, n_lang: int, none: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys, and their values by language; `none` where a language doesn't have the key."""
+    keys, at = np.unique(key, return_inverse=True)
+    out = np.empty((len(keys), n_lang, len(none)), np.float32)
+    out[:] = none
+    out[at, lang] = values
+    return keys, out
+
+
+#: Values of a gram (count less the discount) and of a context (1 / total, weight of what follows unseen) for languages without it.
+NONE = {"gram": (0.0,), "context": (0.0, 1.0)}
 
 
 class Models:
-    """The languages' models together: arrays by order, one column a language."""
+    """The languages' models together: for each order a table of grams and one of contexts, in parts by `key % parts`.
+
+    A part is (keys, values), or the path of its files, which are mapped into memory where they are read.
+    """
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
+        """Models of (sorted keys, counts) of each language's 4-grams."""
+        counts = counts or {}
         self.langs = sorted(counts)
-        n_lang = len(self.langs)
-        vocabulary = len(np.unique(np.concatenate([k & U(0xFFFF) for k, _ in counts.values()]))) + 1 if counts else 1
-        self.floor = -np.log(vocabulary)
-        self.grams, self.logp, self.contexts, self.weight = [], [], [], []
-        tables = [self._orders(*counts[lang]) for lang in self.langs]
-        for n in range(1, ORDER + 1):
-            keys = np.unique(np.concatenate([t[n - 1][0] for t in tables])) if tables else np.zeros(0, np.uint64)
-            ctx = np.unique(keys >> U(16))
-            p, w = np.zeros((len(keys), n_lang)), np.zeros((len(ctx), n_lang))
-            if n == 1:
-                lower = np.full((len(keys), n_lang), 1 / vocabulary)
-            else:
-                lower = np.exp(self.logp[-1][self._where(self.grams[-1], keys & ((U(1) << U(16 * (n - 1))) - U(1)))])
-            for ell, t in enumerate(tables):
-                k, c = t[n - 1]
-                ones, twos = (c == 1).sum(), (c == 2).sum()
-                d = min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
+        self.limit = np.full(len(self.langs), np.inf)
+        self.vocabulary = len(np.unique(np.concatenate([k & U(0xFFFF) for k, _ in counts.values()]))) + 1 if counts else 1
+        self.parts: dict[tuple[int, str], list] = {}
+        orders = [self._orders(*counts[lang]) for lang in self.langs]
+        for n in range(1, ORDER + 1) if orders else ():
+            made: dict[str, list] = {"gram": [], "context": []}
+            for ell, (k, c) in enumerate(o[n - 1] for o in orders):
+                d = discount((c == 1).sum(), (c == 2).sum())
                 own, inverse = np.unique(k >> U(16), return_inverse=True)
                 total, kinds = np.bincount(inverse, c, len(own)), np.bincount(inverse, minlength=len(own))
-                place = np.searchsorted(ctx, own)
-                lam = np.ones(len(ctx))
-                lam[place] = d * kinds / total
-                w[:, ell] = np.log(lam)
-                full = np.zeros(len(keys))
-                full[np.searchsorted(keys, k)] = (c - d) / total[inverse]
-                p[:, ell] = full + lam[np.searchsorted(ctx, keys >> U(16))] * lower[:, ell]
-            g, x = Lookup(keys), Lookup(ctx)
-            self.grams.append(g)
-            self.logp.append(np.log(p)[g.order].astype(np.float32))
-            self.contexts.append(x)
-            self.weight.append(w[x.order].astype(np.float32))
-        self.limit = np.full(n_lang, np.inf)
-
-    @staticmethod
-    def _where(look: Lookup, keys: np.ndarray) -> np.ndarray:
-        return look.find(keys)
+                made["gram"].append((k, np.full(len(k), ell), (c - d)[:, None]))
+                made["context"].append((own, np.full(len(own), ell), np.stack([1 / total, d * kinds / total], axis=1)))
+            for kind, t in made.items():
+                self.parts[n, kind] = [_table(*(np.concatenate(x) for x in zip(*t)), len(self.langs), NONE[kind])]
 
     @staticmethod
     def _orders(key: np.ndarray, c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Counts of 4-grams, and below them numbers of distinct symbols that precede."""
         out = [(key, c.astype(np.float64))]
         for n in range(ORDER - 1, 0, -1):
-            k, kinds = np.unique(out[0][0] & ((U(1) << U(16 * n)) - U(1)), return_counts=True)
+            k, kinds = np.unique(out[0][0] & U(_lower(n)), return_counts=True)
             out.insert(0, (k, kinds.astype(np.float64)))
         return out
 
-    def log_probabilities(self, key: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(key), len(self.langs)), np.float32)
-        rest = np.arange(len(key))
-        for n in range(ORDER, 0, -1):
-            at = self.grams[n - 1].find(key)
-            hit = at >= 0
-            if hit.all() and n == ORDER:
-                return self.logp[n - 1][at]
-            out[rest[hit]] += self.logp[n - 1][at[hit]]
-            rest, key = rest[~hit], key[~hit]
-            if not len(rest):
-                return out
-            ctx = self.contexts[n - 1].find(key >> U(16))
-            seen = ctx >= 0
-            out[rest[seen]] += self.weight[n - 1][ctx[seen]]
-            key = key & ((U(1) << U(16 * (n - 1))) - U(1))
-        out[rest] += np.float32(self.floor)
+    def _find(self, n: int, kind: str, keys: np.ndarray) -> np.ndarray:
+        """Values of keys by language."""
+        parts = self.parts[n, kind]
+        out = np.empty((len(keys), len(self.langs), len(NONE[kind])), np.float32)
+        out[:] = NONE[kind]
+        of = keys.view(np.int64) % len(parts)
+        for b in np.unique(of):
+            if parts[b] is None:
+                continue
+            if isinstance(parts[b], str):
+                parts[b] = tuple(np.load(f"{parts[b]}.{x}.npy", mmap_mode="r") for x in ("keys", "values"))
+            have, values = parts[b]
+            mine = np.flatnonzero(of == b)
+            at = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
+            hit = have[at] == keys[mine]
+            out[mine[hit]] = values[at[hit]]
         return out
 
+    def log_probabilities(self, key: np.ndarray) -> np.ndarray:
+        own, back = np.unique(key, return_inverse=True)
+        p = np.full((len(own), len(self.langs)), 1 / self.vocabulary)
+        for n in range(1, ORDER + 1) if self.langs else ():
+            k = own & U(_lower(n))
+            context = self._find(n, "context", k >> U(16))
+            p = self._find(n, "gram", k)[:, :, 0] * context[:, :, 0] + context[:, :, 1] * p
+        return np.log(p).astype(np.float32)[back]
+
     def entropies(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy a symbol by document and language, and the numbers of symbols."""
         sym, spans = symbols(raw, offs)
@@ -237,32 +231,59 @@ class Models:
                     yield self.langs[b], float(score), float(h[d, b]), bool(h[d, b] <= self.limit[b])
 
 
+def _build(counts: DataFrame) -> Models:
+    """Models of counts of 4-grams (lang, key, c): every gram, in files of the shared folder.  The driver gets a row a language and order, and one a file."""
+    spark, models = counts.sparkSession, Models()
+    order = counts.select(F.lit(ORDER).alias("n"), "lang", "key", "c")
+    orders = order
+    for n in range(ORDER - 1, 0, -1):
+        order = order.groupBy(F.lit(n).alias("n"), "lang", F.col("key").bitwiseAND(_lower(n)).alias("key")).agg(F.count("*").alias("c"))
+        orders = orders.union(order)
+    orders = cut(orders)
+    once, twice = (F.count(F.when(F.col("c") == x, 1)).alias(f"c{x}") for x in (1, 2))
+    stats = orders.groupBy("n", "lang").agg(once, twice, F.count("*").alias("k")).collect()
+    if not stats:
+        return models
+    models.langs = sorted({r.lang for r in stats})
+    models.limit = np.full(len(models.langs), np.inf)
+    models.vocabulary = orders.where("n = 1").select("key").distinct().count() + 1
+    place = {x: i for i, x in enumerate(models.langs)}
+    less = {(r.n, place[r.lang]): discount(r.c1, r.c2) for r in stats}
+    rows = {n: sum(r.k for r in stats if r.n == n) for n in range(1, ORDER + 1)}
+    n_parts = next((p for p in PARTS if max(rows.values()) <= p * PART_ROWS), PARTS[-1])
+    number = spark.createDataFrame(list(place.items()), "lang string, l int")
+    orders = orders.join(F.broadcast(number), "lang").select("n", "l", "key", "c")
+    context = F.shiftrightunsigned("key", 16)
+    contexts = orders.groupBy("n", "l", context.alias("key")).agg(F.sum("c").alias("c"), F.count("*").alias("kinds"))
+    every = orders.withColumn("kinds", F.lit(0).cast("long")).withColumn("kind", F.lit("gram")).unionByName(contexts.withColumn("kind", F.lit("context")))
+    folder, n_lang = f"{shared_dir(spark)}/language-models-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:"), len(models.langs)
+
+    def write(key, t):
+        n, kind, part = (x.as_py() for x in key)
+        l, c, kinds = (t.column(x).to_numpy() for x in ("l", "c", "kinds"))
+        d = np.array([less.get((n, i), 0.05) for i in range(n_lang)])[l]
+        values = (c - d)[:, None] if kind == "gram" else np.stack([1 / c, d * kinds / c], axis=1)
+        made = _table(t.column("key").to_numpy().view(np.uint64), l, values, n_lang, NONE[kind])
+        os.makedirs(folder, exist_ok=True)
+        at = f"{folder}/{n}-{kind}-{part}-{uuid.uuid4().hex}"  # a task that runs twice writes twice, one of them counts
+        for name, x in zip(("keys", "values"), made):
+            np.save(f"{at}.{name}.npy", x)
+        return pa.table({"n": [n], "kind": [kind], "part": [part], "path": [at]})
+
+    files = every.groupBy("n", "kind", F.pmod("key", F.lit(n_parts)).alias("part")).applyInArrow(write, "n long, kind string, part long, path string")
+    models.parts = {(n, kind): [None] * n_parts for n in range(1, ORDER + 1) for kind in NONE}
+    for r in files.collect():
+        models.parts[r.n, r.kind][r.part] = r.path
+    return models
+
+
 def learn(docs: DataFrame) -> Models:
     """Models from the text and lang of every row given."""
     docs = docs.where("lang is not null and text is not null")
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    counts = count_grams(docs).persist()
-    levels = counts.groupBy("lang", F.floor(F.log2("c")).cast("int").alias("l")).agg(F.count("*").alias("k")).collect()
-    langs = sorted({r.lang for r in levels})
-    most = MOST_GRAMS // max(1, len(langs))
-    least = {}
-    for lang in langs:
-        k, least[lang] = 0, 0
-        for level in sorted((r for r in levels if r.lang == lang), key=lambda r: -r.l):
-            k += level.k
-            if k > most:
-                least[lang] = 2 ** (level.l + 1)
-                break
-    found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for lang in langs:
-        t = counts.where((F.col("lang") == lang) & (F.col("c") >= least[lang])).select("key", "c").toArrow()
-        key, c = t.column("key").to_numpy().view(np.uint64), t.column("c").to_numpy()
-        order = np.argsort(key)
-        found[lang] = (key[order], c[order])
-    counts.unpersist()
-    models = Models(found)
-    if langs:
+    models = _build(cut(count_grams(docs)))
+    if models.langs:
         n = docs.count()
         every = max(1, n // CALIBRATION_ROWS)
         # each text once: a text with very many copies would otherwise set its language's limit alone

@@ -343,6 +343,27 @@ def test_models_give_distributions(spark):
     assert 0.5 < p <= 1.0001
 
 
+def test_language_models_have_every_gram(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_GRAMS", 8, raising=False)
+    monkeypatch.setattr(language_id, "PART_ROWS", 50, raising=False)
+    rnd = random.Random(12)
+    rows = [(i, "".join(rnd.choice(("abcdé ", "cdefgh ")[i % 2]) for _ in range(rnd.randint(5, 60))), ("aa", "bb")[i % 2]) for i in range(400)] + [(400 + i, "ab cd", "aa") for i in range(50)]
+    m = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts, coded = {}, {}
+    for lang in ("aa", "bb"):
+        texts = [t for _, t, x in rows if x == lang]
+        keys = []
+        for t in texts:
+            raw = np.frombuffer(t.encode(), np.uint8)
+            sym, _ = language_id.symbols(raw, np.array([0, len(raw)]))
+            keys.append(language_id.grams(sym)[3:])
+        coded[lang] = dict(zip(texts, keys))
+        counts[lang] = np.unique(np.concatenate(keys), return_counts=True)
+    want = language_id.Models(counts)
+    probe = np.concatenate([k for lang in coded for k in coded[lang].values()] + [np.arange(50, dtype=np.uint64) * np.uint64(7919 << 20)])
+    assert m.langs == want.langs and np.allclose(m.log_probabilities(probe), want.log_probabilities(probe), atol=1e-5)
+
+
 def test_toxicity_learns_words(spark, hard, none):
     rnd = random.Random(9)
     plain = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ado", "eri", "oni", "uta")]
