@@ -4,7 +4,7 @@ Texts become letters in lower case, with one boundary symbol between runs of let
 training documents, discounted per order and interpolated with continuation counts below.  A model keeps sorted arrays of keys: of
 the grams of each order, with discounted counts for every language, and of their contexts, with totals and interpolation weights for what
 follows a context unseen.  A text gets the language of the lowest cross-entropy a symbol; it is rejected if that exceeds the language's
-limit, which is calibrated on a bounded sample of distinct training texts.
+limit, which is calibrated on all distinct training texts.
 
 The model has every gram of the training documents.  Its arrays are files of the shared folder, in parts by the key's remainder, which
 workers map into memory; the driver gets their paths and a few sums.
@@ -31,8 +31,6 @@ ORDER = 4
 #: Rows of a part of a model's table, about, and the numbers of parts (primes: keys are dealt by remainder).
 PART_ROWS = 1 << 20
 PARTS = (1, 7, 29, 61, 127, 509, 2039, 8191)
-#: Texts that the rejection limits are calibrated on, about.
-CALIBRATION_ROWS = 4000
 #: The limit is this quantile of the cross-entropy of a language's own documents, with slack.
 QUANTILE, SLACK = 0.995, 1.3
 
@@ -277,28 +275,60 @@ def _build(counts: DataFrame) -> Models:
     return models
 
 
+def quantiles(own: DataFrame, q: float) -> dict[str, float]:
+    """The q-quantile of h by lang over all rows, to 2^-29, between neighbours as `percentile`: histograms narrow down on the two ranks, so the driver gets a bounded number of counts."""
+    own = own.select("lang", F.floor(F.least("h", F.lit(127.0)) * (1 << 29)).cast("long").alias("v"))
+    size = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}
+    # (lang, side) -> rank among the rows whose leading digits are `lead`
+    sides = {(lang, up): (min(n - 1, int(q * (n - 1)) + up), 0) for lang, n in size.items() for up in (0, 1)}
+    for shift in (24, 12, 0):
+        wanted = own.sparkSession.createDataFrame(sorted({(lang, lead) for (lang, _), (_, lead) in sides.items()}), "lang string, lead long")
+        near = own.withColumn("lead", F.shiftright("v", shift + 12)).join(F.broadcast(wanted), ["lang", "lead"])
+        counts: dict[tuple, list] = {}
+        for r in near.groupBy("lang", "lead", F.shiftright("v", shift).alias("d")).count().orderBy("d").collect():
+            counts.setdefault((r.lang, r.lead), []).append((r.d, r["count"]))
+        for side, (rank, lead) in sides.items():
+            for d, n in counts[side[0], lead]:
+                if rank < n:
+                    sides[side] = (rank, d)
+                    break
+                rank -= n
+    value = {side: lead / (1 << 29) for side, (_, lead) in sides.items()}
+    return {lang: value[lang, 0] + (value[lang, 1] - value[lang, 0]) * (q * (n - 1) % 1) for lang, n in size.items()}
+
+
+def _limits(docs: DataFrame, models: Models) -> None:
+    """Sets the limits from every document given that its own language's model likes best; from all of a language where there is none."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def step(batches):
+        place = {x: i for i, x in enumerate(shared.value.langs)}
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
+            lang = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
+            h, right, some = np.zeros(len(lang)), np.zeros(len(lang), bool), np.zeros(len(lang), bool)
+            for a, b, raw, offs in _text.chunks(_text.text_array(batch.column("text"))):
+                e, n = shared.value.entropies(raw, offs)
+                h[a:b], right[a:b], some[a:b] = e[np.arange(b - a), lang[a:b]], e.argmin(axis=1) == lang[a:b], n > 0
+            keep = pa.array(some)
+            cols = [batch.column("lang"), batch.column("same"), pa.array(h), pa.array(right)]
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in cols], ["lang", "same", "h", "right"])
+
+    # each text once: a text with very many copies would otherwise set its language's limit alone
+    rows = docs.select("lang", F.xxhash64("text").alias("same"), "text").mapInArrow(step, "lang string, same long, h double, right boolean")
+    rows = cut(rows.groupBy("lang", "same").agg(F.max("h").alias("h"), F.max("right").alias("right")))
+    for found in (rows, rows.where("right")):
+        for lang, h in quantiles(found, QUANTILE).items():
+            models.limit[models.langs.index(lang)] = h * SLACK
+
+
 def learn(docs: DataFrame) -> Models:
     """Models from the text and lang of every row given."""
     docs = docs.where("lang is not null and text is not null")
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
     models = _build(cut(count_grams(docs)))
     if models.langs:
-        n = docs.count()
-        every = max(1, n // CALIBRATION_ROWS)
-        # each text once: a text with very many copies would otherwise set its language's limit alone
-        sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("lang", "text").distinct()
-        shared = spark.sparkContext.broadcast(models)
-
-        def step(batches):
-            for batch in batches:
-                rows = list(shared.value.classify(_text.text_array(batch.column("text"))))
-                right = [(a[0], a[2]) for a, lang in zip(rows, batch.column("lang").to_pylist()) if a[0] == lang]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in right], pa.string()), pa.array([r[1] for r in right], pa.float64())], ["lang", "h"])
-
-        own = sample.mapInArrow(step, "lang string, h double").groupBy("lang").agg(F.percentile("h", F.lit(QUANTILE)).alias("q"))
-        for r in own.collect():
-            models.limit[models.langs.index(r.lang)] = r.q * SLACK
+        # languages without a single gram have no model
+        _limits(docs.where(F.col("lang").isin(models.langs)), models)
     return models
 
 

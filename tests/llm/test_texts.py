@@ -343,8 +343,9 @@ def test_models_give_distributions(spark):
     assert 0.5 < p <= 1.0001
 
 
-def test_language_models_have_every_gram(spark, monkeypatch):
+def test_language_models_have_every_gram_and_limits_every_text(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MOST_GRAMS", 8, raising=False)
+    monkeypatch.setattr(language_id, "CALIBRATION_ROWS", 4, raising=False)
     monkeypatch.setattr(language_id, "PART_ROWS", 50, raising=False)
     rnd = random.Random(12)
     rows = [(i, "".join(rnd.choice(("abcdé ", "cdefgh ")[i % 2]) for _ in range(rnd.randint(5, 60))), ("aa", "bb")[i % 2]) for i in range(400)] + [(400 + i, "ab cd", "aa") for i in range(50)]
@@ -362,6 +363,10 @@ def test_language_models_have_every_gram(spark, monkeypatch):
     want = language_id.Models(counts)
     probe = np.concatenate([k for lang in coded for k in coded[lang].values()] + [np.arange(50, dtype=np.uint64) * np.uint64(7919 << 20)])
     assert m.langs == want.langs and np.allclose(m.log_probabilities(probe), want.log_probabilities(probe), atol=1e-5)
+    for ell, lang in enumerate(want.langs):
+        h = [-want.log_probabilities(k).astype(float).mean(axis=0) for k in coded[lang].values() if len(k)]
+        own = [x[ell] for x in h if x.argmin() == ell]
+        assert m.limit[ell] == pytest.approx(np.quantile(own, language_id.QUANTILE) * language_id.SLACK, rel=1e-5)
 
 
 def test_toxicity_learns_words(spark, hard, none):
