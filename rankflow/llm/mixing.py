@@ -14,6 +14,8 @@ and nothing taken; rows that repeat a doc_id are mixed each; an empty table give
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,8 +94,7 @@ class Mixture:
             rows.append((i, name, s, float(t), blocks, n, before))
             before += n
         self.plan = spark.createDataFrame(rows, "sid int, source string, source_size long, target double, blocks long, slots long, before long")
-        # written out: conditions on the block must not be pushed through the rounds, where they would grow with each
-        self.slots = cut(slots_of(spark, self.plan.select("sid", "blocks", "slots", "before"), max(1, before), seed))
+        self.total, self.seed = before, seed
         number = F.create_map(*[F.lit(x) for i, (name, _) in enumerate(per) for x in (name, i) if name is not None]) if any(n is not None for n, _ in per) else None
         sid = F.lit(len(per) - 1) if number is None else F.coalesce(F.try_element_at(number, F.col("source")), F.lit(len(per) - 1))
         parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -102,6 +103,11 @@ class Mixture:
         lo, hi = f"greatest(start, block * {block})", f"least(start + size, (block + 1) * {block})"
         self.pieces = self.docs.select("*", F.explode_outer(F.expr(inside)).alias("block")).withColumn("skip", F.expr(f"{lo} - start")).withColumn("n", F.expr(f"{hi} - {lo}"))
 
+    @cached_property
+    def slots(self) -> DataFrame:
+        # written out: conditions on the block must not be pushed through the rounds, where they would grow with each
+        return cut(slots_of(self.plan.sparkSession, self.plan.select("sid", "blocks", "slots", "before"), max(1, self.total), self.seed))
+
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target and taken of every row."""
         uses = self.slots.groupBy("sid", "block").agg(F.count("*").alias("uses"))

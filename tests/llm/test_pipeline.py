@@ -33,6 +33,21 @@ def test_stages(spark, folder):
     assert seen[4] == seen[3] <= seen[2]
 
 
+def test_mix_of_long_documents_meets_its_targets(spark, folder):
+    rnd = random.Random(2)
+    rows = [(i if i % 50 else None, f"t{i} " * rnd.choice([1, 150, 640, 900]), "en", f"s{i % 5}") for i in range(400)]
+    rows += [(1000, "copy " * 300, "en", "s1")] * 3 + [(1001, "", "en", "s1"), (1002, "no source " * 99, "en", None)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    size, words = {}, {}
+    for _, t, _, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    for r in corpus_pipeline.mix_sources(spark, docs, folder).collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    for s, target in zip(order, corpus_pipeline.mixing.targets([size[s] for s in order])):
+        assert abs(words.get(s, 0) - target) <= 450
+
+
 def test_run_on_nothing(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
