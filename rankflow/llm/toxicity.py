@@ -3,8 +3,8 @@
 Words (letters in lower case) are hashed to embedding rows; filters of widths 1, 2 and 3 slide over the embeddings, each keeps its
 largest response, and a logistic layer scores them.  Training is by Adam over a bounded sample of labelled rows (`FIT_ROWS` of either
 label at most, chosen by hash); buckets that few of its texts have share one row, so nothing is learnt by heart.  Thresholds are
-calibrated on a part of the sample that training does not see: one for all, at which the score is 0.7, and one for each
-language.  Scoring runs over every whole text; its only input is the text.
+calibrated on all labelled rows that training does not see, with the labels' own shares: one for all, at which the score is 0.7, and
+one for each language.  Scoring runs over every whole text; its only input is the text.
 
 Edge cases: null, empty and wordless texts score as no filter responds; without both labels to learn from every score is 0; null
 labels and null ids teach nothing; rows that repeat a doc_id are scored each, and learnt from with that id's largest label.
@@ -27,6 +27,8 @@ LEAST_TEXTS = 4
 WIDTHS, FILTERS, DIMS = (1, 2, 3), 8, 8
 EPOCHS, RATE, DECAY = 6, 0.02, 1e-4
 CUT = 0.7
+#: Steps of the histogram that the cuts are set by, for each unit of response.
+BINS = 256
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -90,11 +92,11 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -60, 60)))
 
 
-def _fit(texts: list[str], y: np.ndarray, langs: list[str | None]) -> Classifier | None:
-    """Trains on four fifths and calibrates on the rest."""
+def _fit(texts: list[str], y: np.ndarray) -> tuple[Classifier | None, np.ndarray]:
+    """Trains on four fifths, or on all where those lack a label; with the places of the texts that it trained on."""
     held = np.arange(len(y)) % 5 == 4
     if not len(y) or y.min() == y.max():
-        return None
+        return None, np.zeros(0, np.int64)
     if len(set(y[~held])) < 2:
         held[:] = False
     coded = []
@@ -148,32 +150,54 @@ def _fit(texts: list[str], y: np.ndarray, langs: list[str | None]) -> Classifier
                 v[k] += 0.001 * (g[k] * g[k] - v[k])
                 model.p[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-6)
     model.table = model.p["e"]
-    _calibrate(model, coded, y, langs, np.flatnonzero(held) if held.any() else fit)
-    return model
+    return model, fit
 
 
-def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap at which F1 is best."""
-    order = np.argsort(-z)
-    z, y = z[order], y[order]
-    f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + max(1, y.sum()))
+def _best_cut(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The middle of the gap at which F1 is best; rows weigh w."""
+    order = np.argsort(-z, kind="stable")
+    z, hit, w = z[order], (y * w)[order], w[order]
+    f1 = 2 * np.cumsum(hit) / (np.cumsum(w) + max(1e-9, hit.sum()))
     f1[:-1][z[:-1] == z[1:]] = -1
     i = int(f1.argmax())
     return float((z[i] + z[i + 1]) / 2 if i + 1 < len(z) else z[i] - 0.5)
 
 
-def _calibrate(model: Classifier, coded, y, langs, on) -> None:
-    ids = model.rows[np.concatenate([coded[i] for i in on])].astype(np.int64)
-    first = np.concatenate([[0], np.cumsum([len(coded[i]) for i in on])])
-    z = model.pooled(ids, first)[0] @ model.p["o"] + model.p["b"][0]
-    cut, near = _best_cut(z, y[on]), np.log(CUT / (1 - CUT))
-    model.scale = float(1 / max(0.25, min(4.0, z.std() or 1.0)) * 2)
+def _calibrate(model: Classifier, docs: DataFrame, marks: DataFrame, total: dict[int, int], fitted: DataFrame) -> None:
+    """Sets the cuts by all labelled rows that were not fitted, or by all labelled ones where nothing else has both labels.
+
+    The driver gets a histogram of the responses by language and label.  As fitting takes another part of either label, rows weigh
+    as much as gives the labels their shares among all that may be learnt from.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def step(batches):
+        for batch in batches:
+            z = [shared.value.logits(raw, offs) for _, _, raw, offs in _text.chunks(_text.text_array(batch.column("text")), 1 << 20)]
+            z = np.concatenate(z) if z else np.zeros(0)
+            bins = np.floor(np.clip(z, -64, 64).astype(np.float64) * BINS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(bins)], ["doc_id", "lang", "bin"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    # scored before the join, so that it shuffles no texts
+    scored = docs.where("doc_id is not null").where(learnt()).select("doc_id", "lang", "text").mapInArrow(step, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, bin long")
+    for rest in (marks.join(F.broadcast(fitted), "doc_id", "left_anti"), marks):
+        joined = scored.join(rest, "doc_id").groupBy("lang", (F.col("toxic") > 0).cast("int").alias("y"), "bin").count().collect()
+        if len({r.y for r in joined}) == 2:
+            break
+    lang = np.array([r.lang for r in joined], object)
+    y, z, n = (np.array(x, np.float64) for x in ([r.y for r in joined], [(r.bin + 0.5) / BINS for r in joined], [r["count"] for r in joined]))
+    everyone = {q: sum(k for t, k in total.items() if (t > 0) == q) for q in (0, 1)}
+    w = n * np.array([everyone[q] / max(1.0, n[y == q].sum()) for q in (0, 1)])[y.astype(int)]
+    cut, near = _best_cut(z, y, w), np.log(CUT / (1 - CUT))
+    mean = np.average(z, weights=w)
+    model.scale = float(1 / max(0.25, min(4.0, np.sqrt(np.average((z - mean) ** 2, weights=w)) or 1.0)) * 2)
     model.shift = float(near - cut * model.scale)
-    for lang in sorted({x for x in langs if x is not None}):
-        own = np.array([langs[i] == lang for i in on])
-        if own.any() and 0 < y[on][own].sum() < own.sum():
-            s = _best_cut(z[own], y[on][own]) * model.scale + model.shift
-            model.by_lang[lang] = float(1 / (1 + np.exp(-s)))
+    for name in sorted({x for x in lang if x is not None}):
+        own = lang == name
+        if 0 < y[own].sum() < own.sum():
+            s = _best_cut(z[own], y[own], w[own]) * model.scale + model.shift
+            model.by_lang[name] = float(1 / (1 + np.exp(-s)))
 
 
 def learnt():
@@ -193,7 +217,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     order = np.random.default_rng(5).permutation(len(rows))
     rows = [rows[i] for i in order]
-    return _fit([r.text for r in rows], np.array([int(r.toxic > 0) for r in rows]), [r.lang for r in rows])
+    model, fit = _fit([r.text for r in rows], np.array([int(r.toxic > 0) for r in rows]))
+    if model is not None:
+        fitted = docs.sparkSession.createDataFrame([(x,) for x in sorted({rows[i].doc_id for i in fit})], docs.select("doc_id").schema)
+        _calibrate(model, docs, marks, total, fitted)
+    return model
 
 
 def score(docs: DataFrame, model: Classifier | None, text: str = "text") -> DataFrame:

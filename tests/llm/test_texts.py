@@ -386,3 +386,23 @@ def test_toxicity_learns_words(spark, hard, none):
     assert all(0 <= r.score <= 1 for r in toxicity.score(hard.select("doc_id", "text"), model).collect())
     assert toxicity.score(none, model).count() == 0
     assert {r.score for r in toxicity.score(hard.select("text"), toxicity.learn(docs, labels.limit(0))).collect()} == {0.0}
+
+
+def test_toxicity_cut_knows_how_rare_the_label_is(spark, monkeypatch):
+    """Fitting takes as many of either label; words that clean texts have too, now and then, must not set the cut low."""
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 150)
+    rnd = random.Random(10)
+    plain = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ado", "eri", "oni", "uta")]
+    rows, marks = [], []
+    for i in range(6000):
+        w, toxic = [rnd.choice(plain) for _ in range(20)], i % 20 == 0
+        for word, often in (("vile", 0.6 if toxic else 0.02), ("nasty", 0.7 if toxic else 0.15), ("crude", 0.7 if toxic else 0.2)):
+            if rnd.random() < often:
+                w[rnd.randrange(20)] = word
+        rows.append((i, " ".join(w), "en"))
+        marks.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = toxicity.score(docs.withColumn("held", ~toxicity.learnt()), toxicity.learn(docs, labels)).where("held").collect()
+    said = [r for r in got if r.score >= toxicity.CUT]
+    true = sum(r.doc_id % 20 == 0 for r in got)
+    assert 0 < len(said) <= 1.5 * true
