@@ -12,11 +12,15 @@ with fewer words the whole sequence is its one shingle.  Two documents link when
 4. Larger sets scan inverted lists: shingles in ascending frequency; the first common shingle of a linked pair lies within the first
    |A| - alpha + 1 of either, alpha the overlap they need.
 5. Each list links its members to its first document only (light work, linear); links are verified against whole sets; classes
-   follow as connected components.  Members which that leaves outside the class of their list's first document are tested
-   against all other members that they can still link with.  Pairs inside one class need no test, so no list emits all its pairs.
+   follow as connected components.  Members inside the class of their list's first document need no test.
+6. A list whose members are then in several classes is mixed.  Members of short mixed lists are tested against each other.  Long ones
+   are split first: dealt into parts by the shingles' hashes, linked sets differ in so few shingles that some part is equal in both but
+   for one; so their documents are listed anew by (sizes, part, digest of three quarters of it), and only those that share one meet.
+
+Hot keys: a list or set that more than `SHARE` rows ask for is copied to as many tasks, and long lists are paired in blocks.
 
 Edge cases: null, empty or blank texts have an empty set, link with nothing and are their own component; rows that repeat a doc_id
-are separate documents; null ids take part, and a component of null ids only has a null id; other columns are ignored; an
+are separate documents (equal rows too); null ids take part, and a component of null ids only has a null id; other columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -37,6 +41,12 @@ from .components import connected_components
 
 #: What scanning one list entry costs, in subsets hashed.
 SCAN_COST = 4
+#: Mixed lists with more members are split by parts.
+LONG = 8
+#: Rows of one key that a task gets, about, in joins.
+SHARE = 1000
+#: Keys of hot rows that are broadcast at most (24 bytes each); beyond them they are joined.
+MOST_BROADCAST = 100_000
 #: No boundary above this is tried: numbers of subsets rise steeply.
 MOST_BOUNDARY = 24
 
@@ -57,7 +67,7 @@ def _set_key(t: np.ndarray) -> bytes | None:
 
 
 def _keys_of(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sk", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("sk", pa.binary())])
 
     def step(batches):
         for batch in batches:
@@ -65,7 +75,7 @@ def _keys_of(k: int):
             for _, t, key in _sets(_text.text_array(batch.column("text")), k):
                 n.append(len(t))
                 sk.append(key)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(sk, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int32()), pa.array(sk, pa.binary())], schema=schema)
 
     return step
 
@@ -200,37 +210,131 @@ def _lists(k: int, num: int, den: int, buckets: int, boundary: int):
                     lists.append((keys, np.zeros(len(keys), np.int64), key, doc, n))
                 if used:
                     sets.append((key, doc, n, t[f > 1]))
-        cols = {c: [] for c in _PART.names}
-        for keys, pos, key, doc, n in lists:
-            m = len(keys)
-            for c, v in (("kind", [0] * m), ("key", keys.view(np.int64).tolist()), ("sk", [key] * m), ("doc_id", [doc] * m), ("n", [n] * m), ("pos", pos.tolist()), ("tokens", [None] * m)):
-                cols[c] += v
-        for key, doc, n, t in sets:
-            for c, v in (("kind", 1), ("key", None), ("sk", key), ("doc_id", doc), ("n", n), ("pos", None), ("tokens", t.view(np.int64))):
-                cols[c].append(v)
-        return pa.Table.from_pydict(cols, schema=_PART)
+        return pa.concat_tables([_entries(lists), _sets_table(sets)])
 
     return step
 
 
+def _binary(keys: list[bytes], times=1) -> pa.Array:
+    """Keys of 16 bytes, each `times` times."""
+    data = np.repeat(np.frombuffer(b"".join(keys), "V16"), times)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(0, 16 * len(data) + 1, 16, dtype=np.int32)), pa.py_buffer(data)])
+
+
+def _entries(lists: list[tuple]) -> pa.Table:
+    """Rows of lists: (keys, places, set key, doc_id, size) of each document."""
+    m = np.array([len(x[0]) for x in lists], np.int64)
+    total = int(m.sum())
+    doc = pa.array([x[3] for x in lists], pa.int64()).take(pa.array(np.repeat(np.arange(len(lists)), m)))
+    key = np.concatenate([x[0] for x in lists]) if lists else np.zeros(0, np.uint64)
+    pos = np.concatenate([x[1] for x in lists]) if lists else np.zeros(0, np.int64)
+    n = np.repeat(np.array([x[4] for x in lists], np.int32), m)
+    return pa.Table.from_arrays([pa.array(np.zeros(total, np.int32)), pa.array(key.view(np.int64)), _binary([x[2] for x in lists], m), doc, pa.array(n), pa.array(pos.astype(np.int32)), pa.nulls(total, pa.list_(pa.int64()))], schema=_PART)
+
+
+def _sets_table(sets: list[tuple]) -> pa.Table:
+    """Rows of sets: (set key, doc_id, size, shingles found elsewhere)."""
+    k = len(sets)
+    offs = np.concatenate([[0], np.cumsum([len(x[3]) for x in sets])]).astype(np.int32)
+    tokens = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([x[3] for x in sets]).view(np.int64) if sets else np.zeros(0, np.int64)))
+    return pa.Table.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), _binary([x[0] for x in sets]), pa.array([x[1] for x in sets], pa.int64()), pa.array([x[2] for x in sets], pa.int32()), pa.nulls(k, pa.int32()), tokens], schema=_PART)
+
+
+def dealt_join(big: DataFrame, small: DataFrame, on: str, many: DataFrame) -> DataFrame:
+    """big joined with small, which has one row a key.  many (key, copies): keys whose rows are dealt over as many copies of small's row."""
+    n = many.count()
+    if not n:
+        return big.join(small, on)
+    many = F.broadcast(many) if n <= MOST_BROADCAST else many
+    part = F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("copies")), F.lit(0).cast("long"))
+    more = small.join(many, on).withColumn("__part", F.explode(F.expr("sequence(1L, copies - 1)"))).drop("copies")
+    copied = small.withColumn("__part", F.lit(0).cast("long")).unionByName(more)
+    return big.join(many, on, "left").withColumn("__part", part).drop("copies").join(copied, [on, "__part"]).drop("__part")
+
+
+def _many(counted: DataFrame, key: str) -> DataFrame:
+    """(key, copies) of the keys with more than SHARE rows; counted: key, c."""
+    return counted.where(F.col("c") > SHARE).select(key, F.expr(f"1 + c div {SHARE}").alias("copies"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link."""
-    left = sets.select(F.col("sk").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sk").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    for side, n, tokens in (("a", "na", "ta"), ("b", "nb", "tb")):
+        per = pairs.select("a", "b").groupBy(side).agg(F.count("*").alias("c"))
+        pairs = dealt_join(pairs, sets.select(F.col("sk").alias(side), F.col("n").alias(n), F.col("tokens").alias(tokens)), side, _many(per, side))
+    both = pairs.withColumn("common", F.size(F.array_intersect("ta", "tb")))
     return both.where(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def sizes_of(n: int, num: int, den: int) -> tuple[int, int, int]:
+    """(number, largest size, largest of the next) of the range of sizes that n is in: a set links with sets of its own range and the next or last one only."""
+    i, low = 0, 1
+    while (high := max(low, low * den // num)) < n:
+        i, low = i + 1, high + 1
+    return i, high, max(high + 1, (high + 1) * den // num)
+
+
+def parts_of(tokens: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
+    """Keys of the parts of a set, by its own range of sizes and the next one.
+
+    Linked sets of up to m shingles differ in d = 2 m (den - num) / (den + num) at most, so of d // 2 + 1 parts one has one difference
+    at most, and of its four quarters three are equal.
+    """
+    i, own, after = sizes_of(n, num, den)
+    out, weight = [], mix(tokens)
+    deal = mix(tokens ^ U(0x2545F4914F6CDD1D))
+    for group, most in ((i, own), (i + 1, after)):
+        parts = most * (den - num) // (den + num) + 1
+        quarters = np.zeros(4 * parts, np.uint64)
+        np.add.at(quarters, (deal % U(4 * parts)).astype(np.int64), weight)
+        quarters = quarters.reshape(parts, 4)
+        three = quarters.sum(axis=1, keepdims=True) - quarters
+        out.append(mix(three.ravel() + np.arange(4 * parts, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + mix(np.array([group], np.uint64))))
+    return np.concatenate(out)
+
+
+def _by_parts(num: int, den: int):
+    """(sk, n, root, tokens) -> (key, sk, n, pos, root), a row a part."""
+
+    def step(batches):
+        for batch in batches:
+            rows = [(parts_of(t.values.to_numpy(zero_copy_only=False).view(np.uint64), n.as_py(), num, den), k.as_py(), n.as_py(), r.as_py()) for k, n, r, t in zip(*(batch.column(c) for c in ("sk", "n", "root", "tokens")))]
+            if not rows:
+                continue
+            m = [len(r[0]) for r in rows]
+            key = np.concatenate([r[0] for r in rows]).view(np.int64)
+            n = np.repeat(np.array([r[2] for r in rows], np.int32), m)
+            yield pa.RecordBatch.from_arrays([pa.array(key), _binary([r[1] for r in rows], m), pa.array(n), pa.array(np.zeros(len(n), np.int32)), _binary([r[3] for r in rows], m)], ["key", "sk", "n", "pos", "root"])
+
+    return step
+
+
+def _mixed_pairs(placed: DataFrame, sets: DataFrame, num: int, den: int, can: str) -> DataFrame:
+    """Pairs (a, b) of different classes that meet in a list; placed: key, sk, n, pos, c (members of the list), root (class)."""
+    roots = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("c").alias("c")).where("x <> y").select("key", "c")
+    mixed = cut(dealt_join(placed.drop("c"), roots, "key", _many(roots, "key")))
+    far = mixed.where(F.col("c") > LONG).select("sk", "root").distinct()
+    enough = f"size(tokens) * {den} >= {num} * n"  # others have no partner
+    parts = sets.where(enough).join(far, "sk").select("sk", "n", "root", "tokens").mapInArrow(_by_parts(num, den), "key long, sk binary, n int, pos int, root binary")
+    entries = cut(mixed.where(F.col("c") <= LONG).select("key", "sk", "n", "pos", "root").union(parts))
+    size = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", F.expr(f"1 + c div {SHARE}").alias("blocks"), "c")
+    one = dealt_join(entries, size, "key", _many(size, "key")).drop("c")
+    left = one.withColumn("block", F.pmod(F.xxhash64("sk"), F.col("blocks"))).drop("blocks")
+    right = one.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", "block", *(F.col(c).alias("f" + c) for c in ("sk", "n", "pos", "root")))
+    return left.join(right, ["key", "block"]).where(f"sk < fsk and root <> froot and {can}").select(F.col("sk").alias("a"), F.col("fsk").alias("b")).distinct()
+
+
 def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the documents it is linked with, over any number of links) of every row."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = cut(docs.mapInArrow(_keys_of(k), "doc_id long, n int, sk binary"))
-    classes = cut(base.where("sk is not null").groupBy("sk").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
+    s = shard_count(docs, "text")
+    base = cut(docs.mapInArrow(_keys_of(k), "doc_id long, th long, n int, sk binary"))
+    classes = cut(base.where("sk is not null").groupBy("sk").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.max("n").alias("n")).select("sk", "r.doc_id", "r.th", "n"))
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= MOST_BOUNDARY + MOST_BOUNDARY // 2).groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, num, den)
 
-    s = shard_count(docs, "text")
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(s)).cast("int").alias("s")
+    # by the text too: rows of one id, or of none, are dealt
+    shard = F.pmod(F.xxhash64("doc_id", "th"), F.lit(s)).cast("int").alias("s")
     dealt, reps = docs.select("doc_id", "text", shard), classes.select("doc_id", "sk", shard)
     parts = dealt.groupBy("s").cogroup(reps.groupBy("s")).applyInArrow(_frequency_parts(k, s), "b int, s int, once binary, more binary, times binary")
     freq = parts.groupBy("b").applyInArrow(_frequencies, "s int, b int, part binary, df binary, doc_id long, sk binary")
@@ -239,24 +343,17 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = made.where("kind = 1").select("sk", "n", "tokens")
     lists = made.where("kind = 0").select("key", "sk", "doc_id", "n", "pos")
 
-    firsts = lists.groupBy("key").agg(F.min(F.struct("doc_id", "sk", "n", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    near = lists.join(firsts, "key").select("key", "sk", "n", "pos", "c", F.col("f.sk").alias("fsk"), F.col("f.n").alias("fn"), F.col("f.pos").alias("fpos"))
+    firsts = cut(lists.groupBy("key").agg(F.min(F.struct("doc_id", "sk", "n", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("key", "c", F.col("f.sk").alias("fsk"), F.col("f.n").alias("fn"), F.col("f.pos").alias("fpos")))
+    near = cut(dealt_join(lists.drop("doc_id"), firsts, "key", _many(firsts, "key")))
     need = f"({num} * (n + fn) + {num + den - 1}) div {num + den}"  # the overlap that a pair needs
-    can = f"sk <> fsk and n - pos >= {need} and fn - fpos >= {need}"
-    pair = [F.least("sk", "fsk").alias("a"), F.greatest("sk", "fsk").alias("b")]
-    tested = cut(near.where(can).select(*pair).distinct())
+    can = f"n - pos >= {need} and fn - fpos >= {need}"
+    tested = cut(near.where(f"sk <> fsk and {can}").select(F.least("sk", "fsk").alias("a"), F.greatest("sk", "fsk").alias("b")).distinct())
     links = cut(_verified(tested, sets, num, den))
     roots = connected_components(links)
 
-    # lists with members outside their first document's class
-    placed = lists.join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
-    heads = firsts.where("c > 2").select("key", F.col("f.sk").alias("sk")).join(roots.withColumnRenamed("node", "sk"), "sk", "left").select("key", F.col("sk").alias("head"), F.coalesce("root", "sk").alias("head_root"))
-    placed = placed.join(heads, "key")
-    rest = cut(placed.where("root <> head_root and sk <> head"))
-    others = placed.where("sk <> head").select("key", F.col("sk").alias("fsk"), F.col("n").alias("fn"), F.col("pos").alias("fpos"), F.col("root").alias("froot"), F.col("head_root").alias("fhead"))
-    # a pair that stands outside the head's class on both sides is taken once
-    cross = rest.join(others.join(rest.select("key").distinct(), "key", "left_semi"), "key").where(f"root <> froot and (froot = fhead or sk < fsk) and {can}")
-    more = cut(_verified(cross.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), sets, num, den))
+    placed = cut(near.where("c > 2").select("key", "sk", "n", "pos", "c").join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk")))
+    rest = cut(_mixed_pairs(placed, sets, num, den, can).join(tested, ["a", "b"], "left_anti"))
+    more = cut(_verified(rest, sets, num, den))
     if more.limit(1).count():
         roots = connected_components(links.union(more))
 

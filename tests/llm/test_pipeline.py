@@ -33,6 +33,16 @@ def test_stages(spark, folder):
     assert seen[4] == seen[3] <= seen[2]
 
 
+def test_near_copies_go_by_row(spark, folder):
+    """Ids that repeat or lack, equal rows: one row of each class stays, no text without a copy goes."""
+    a, z = " ".join(f"a{i}" for i in range(60)), " ".join(f"z{i}" for i in range(60))
+    texts = [(1, a), (5, a), (5, z), (None, z + " more"), (None, "quite another text of its own"), (7, "quite another text of its own"), (8, ""), (9, None), (10, "one"), (10, "one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.join_near_copies(spark, docs, folder).collect())
+    assert got == sorted([("1", a), ("5", z), ("7", "quite another text of its own"), ("8", ""), ("9", "None"), ("10", "one")])
+    assert corpus_pipeline.join_near_copies(spark, docs.limit(0), folder).count() == 0
+
+
 def test_mix_of_long_documents_meets_its_targets(spark, folder):
     rnd = random.Random(2)
     rows = [(i if i % 50 else None, f"t{i} " * rnd.choice([1, 150, 640, 900]), "en", f"s{i % 5}") for i in range(400)]

@@ -194,6 +194,43 @@ def test_join_on_hard_rows(hard, none):
     assert ngram_join.similar_classes(none).count() == 0
 
 
+def templated(n, seed=3):
+    """Ten of forty fixed sentences each: very frequent shingles, hardly any link."""
+    rnd = random.Random(seed)
+    stock = [" ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(500)}" for _ in range(12)) for _ in range(40)]
+    return [(i, " ".join(rnd.sample(stock, 10))) for i in range(n)]
+
+
+def test_unlinked_members_of_long_lists_hardly_meet(spark, monkeypatch):
+    pairs, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda p, *more: (pairs.append(p.count()), verified(p, *more))[1])
+    rows = templated(600) + [(10_000 + i, t) for i, t in made(9, 100)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(rows)
+    small = sum(pairs)
+    pairs.clear()
+    assert ngram_join.similar_classes(spark.createDataFrame(templated(2400), "doc_id long, text string")).count() == 2400
+    assert sum(pairs) <= 6 * small, (sum(pairs), small)
+
+
+def test_parts_of_linked_sets_meet():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 12, 40, 200):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([rng.permutation(a)[rng.integers(0, 1 + n // 6) :], rng.integers(0, 2**63, rng.integers(0, 1 + n // 8)).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= 85 * (len(a) + len(b) - both):
+                assert set(ngram_join.parts_of(a, len(a), 85, 100).tolist()) & set(ngram_join.parts_of(b, len(b), 85, 100).tolist())
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHARE", 5)
+    monkeypatch.setattr(ngram_join, "LONG", 6)
+    rows = made(4, 300)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == components(rows)
+
+
 def test_boundary_follows_the_cost():
     assert ngram_join.choose_boundary({}, 85, 100) == 0
     assert 0 < ngram_join.choose_boundary({n: 100 for n in range(1, 25)}, 85, 100) < 24
