@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a temporary one is set only where none is, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir of the session.  Where it is unset a temporary one is set, in local mode only; on a cluster that is an error."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
     if not path:
+        if not re.match(r"local(\[.*\])?$", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -40,3 +43,34 @@ def shard_count(docs: DataFrame, text: str, target: int = 4 << 20) -> int:
     small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     return int(max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // target)))
+
+
+def without(df: DataFrame, made: list[str], needed: str) -> DataFrame:
+    """The table without columns of the names that an operator makes; the one it reads stays."""
+    if needed in made:
+        raise ValueError(f"the text can't be in a column named {needed}, which is made here")
+    return df.drop(*made)
+
+
+#: Rows of one key that a task gets, about, in joins by `dealt_join`.
+SHARE = 1000
+#: Keys of hot rows that are broadcast at most (24 bytes each, about); beyond them they are joined.
+MOST_BROADCAST = 100_000
+
+
+def many(counted: DataFrame, key: str, share: int | None = None) -> DataFrame:
+    """(key, copies) of the keys with more than `share` rows; counted: key, c."""
+    share = share or SHARE
+    return counted.where(F.col("c") > share).select(key, F.expr(f"1 + c div {share}").alias("copies"))
+
+
+def dealt_join(big: DataFrame, small: DataFrame, on: str, hot: DataFrame, how: str = "inner", deal: list[str] | None = None) -> DataFrame:
+    """big joined (inner or left) with small, which has one row a key.  hot (key, copies): keys whose rows are dealt, by a hash of `deal`, over as many copies of small's row."""
+    n = hot.count()
+    if not n:
+        return big.join(small, on, how)
+    hot = F.broadcast(hot) if n <= MOST_BROADCAST else hot
+    part = F.coalesce(F.pmod(F.xxhash64(*(deal or big.columns)), F.col("copies")), F.lit(0).cast("long"))
+    more = small.join(hot, on).withColumn("__part", F.explode(F.expr("sequence(1L, copies - 1)"))).drop("copies")
+    copied = small.withColumn("__part", F.lit(0).cast("long")).unionByName(more)
+    return big.join(hot, on, "left").withColumn("__part", part).drop("copies").join(copied, [on, "__part"], how).drop("__part")

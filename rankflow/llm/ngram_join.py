@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import cut, shard_count
+from ._spark import cut, dealt_join, many, shard_count
 from ._text import U, mix
 from .components import connected_components
 
@@ -43,10 +43,8 @@ from .components import connected_components
 SCAN_COST = 4
 #: Mixed lists with more members are split by parts.
 LONG = 8
-#: Rows of one key that a task gets, about, in joins.
+#: Rows of one key that a task gets, about.
 SHARE = 1000
-#: Keys of hot rows that are broadcast at most (24 bytes each); beyond them they are joined.
-MOST_BROADCAST = 100_000
 #: No boundary above this is tried: numbers of subsets rise steeply.
 MOST_BOUNDARY = 24
 
@@ -240,28 +238,11 @@ def _sets_table(sets: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), _binary([x[0] for x in sets]), pa.array([x[1] for x in sets], pa.int64()), pa.array([x[2] for x in sets], pa.int32()), pa.nulls(k, pa.int32()), tokens], schema=_PART)
 
 
-def dealt_join(big: DataFrame, small: DataFrame, on: str, many: DataFrame) -> DataFrame:
-    """big joined with small, which has one row a key.  many (key, copies): keys whose rows are dealt over as many copies of small's row."""
-    n = many.count()
-    if not n:
-        return big.join(small, on)
-    many = F.broadcast(many) if n <= MOST_BROADCAST else many
-    part = F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("copies")), F.lit(0).cast("long"))
-    more = small.join(many, on).withColumn("__part", F.explode(F.expr("sequence(1L, copies - 1)"))).drop("copies")
-    copied = small.withColumn("__part", F.lit(0).cast("long")).unionByName(more)
-    return big.join(many, on, "left").withColumn("__part", part).drop("copies").join(copied, [on, "__part"]).drop("__part")
-
-
-def _many(counted: DataFrame, key: str) -> DataFrame:
-    """(key, copies) of the keys with more than SHARE rows; counted: key, c."""
-    return counted.where(F.col("c") > SHARE).select(key, F.expr(f"1 + c div {SHARE}").alias("copies"))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link."""
     for side, n, tokens in (("a", "na", "ta"), ("b", "nb", "tb")):
         per = pairs.select("a", "b").groupBy(side).agg(F.count("*").alias("c"))
-        pairs = dealt_join(pairs, sets.select(F.col("sk").alias(side), F.col("n").alias(n), F.col("tokens").alias(tokens)), side, _many(per, side))
+        pairs = dealt_join(pairs, sets.select(F.col("sk").alias(side), F.col("n").alias(n), F.col("tokens").alias(tokens)), side, many(per, side, SHARE))
     both = pairs.withColumn("common", F.size(F.array_intersect("ta", "tb")))
     return both.where(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
@@ -312,13 +293,13 @@ def _by_parts(num: int, den: int):
 def _mixed_pairs(placed: DataFrame, sets: DataFrame, num: int, den: int, can: str) -> DataFrame:
     """Pairs (a, b) of different classes that meet in a list; placed: key, sk, n, pos, c (members of the list), root (class)."""
     roots = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("c").alias("c")).where("x <> y").select("key", "c")
-    mixed = cut(dealt_join(placed.drop("c"), roots, "key", _many(roots, "key")))
+    mixed = cut(dealt_join(placed.drop("c"), roots, "key", many(roots, "key", SHARE)))
     far = mixed.where(F.col("c") > LONG).select("sk", "root").distinct()
     enough = f"size(tokens) * {den} >= {num} * n"  # others have no partner
     parts = sets.where(enough).join(far, "sk").select("sk", "n", "root", "tokens").mapInArrow(_by_parts(num, den), "key long, sk binary, n int, pos int, root binary")
     entries = cut(mixed.where(F.col("c") <= LONG).select("key", "sk", "n", "pos", "root").union(parts))
     size = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", F.expr(f"1 + c div {SHARE}").alias("blocks"), "c")
-    one = dealt_join(entries, size, "key", _many(size, "key")).drop("c")
+    one = dealt_join(entries, size, "key", many(size, "key", SHARE)).drop("c")
     left = one.withColumn("block", F.pmod(F.xxhash64("sk"), F.col("blocks"))).drop("blocks")
     right = one.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", "block", *(F.col(c).alias("f" + c) for c in ("sk", "n", "pos", "root")))
     return left.join(right, ["key", "block"]).where(f"sk < fsk and root <> froot and {can}").select(F.col("sk").alias("a"), F.col("fsk").alias("b")).distinct()
@@ -344,7 +325,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = made.where("kind = 0").select("key", "sk", "doc_id", "n", "pos")
 
     firsts = cut(lists.groupBy("key").agg(F.min(F.struct("doc_id", "sk", "n", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("key", "c", F.col("f.sk").alias("fsk"), F.col("f.n").alias("fn"), F.col("f.pos").alias("fpos")))
-    near = cut(dealt_join(lists.drop("doc_id"), firsts, "key", _many(firsts, "key")))
+    near = cut(dealt_join(lists.drop("doc_id"), firsts, "key", many(firsts, "key", SHARE)))
     need = f"({num} * (n + fn) + {num + den - 1}) div {num + den}"  # the overlap that a pair needs
     can = f"n - pos >= {need} and fn - fpos >= {need}"
     tested = cut(near.where(f"sk <> fsk and {can}").select(F.least("sk", "fsk").alias("a"), F.greatest("sk", "fsk").alias("b")).distinct())
