@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, shared_dir
+from ._spark import cut, dealt_join, many, shared_dir
 
 _MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 18
@@ -59,9 +59,10 @@ def sha1_base32(payload: bytes) -> str:
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload and refers_to: the smallest page_id of the pages with an equal payload, where that is another page's and the payload has min_bytes at least."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
-    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sha", "first")
+    counted = cut(rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1"))
     again = (F.length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(firsts, "sha", "left").select("page_id", "url", "payload", F.when(again, F.col("first")).alias("refers_to"))
+    # a payload that very many pages have meets its first page in many tasks
+    return dealt_join(rows, counted.select("sha", "first"), "sha", many(counted, "sha"), "left", ["page_id", "url"]).select("page_id", "url", "payload", F.when(again, F.col("first")).alias("refers_to"))
 
 
 def write_warc(rows: DataFrame, folder: str, roll_bytes: int = 1 << 30) -> DataFrame:
@@ -130,7 +131,8 @@ def scan_range(path: str, lo: int, hi: int):
             nonlocal data
             if lo + len(data) >= size:
                 return None
-            data += f.read_at(min(_READ, size - lo - len(data)), lo + len(data))
+            # half as much again each time: a record of any length is copied a few times only
+            data += f.read_at(min(max(_READ, len(data) // 2), size - lo - len(data)), lo + len(data))
             return data
 
         p = data.find(_MAGIC)
