@@ -2,7 +2,7 @@
 
 A byte goes if a `length`-byte string that covers it also starts earlier in the corpus.
 
-1. Documents are dealt into shards by a hash of their id.  For each window of `length` bytes the
+1. Documents are dealt into shards by a hash of their id and text.  For each window of `length` bytes the
    smallest hash of its k-byte grams is its *anchor value*.  Equal windows have equal anchor values, so
    only windows whose value is found twice can repeat.  Shards send each of their values once to the
    value's bucket, and get back which of theirs are found elsewhere too.
@@ -10,13 +10,14 @@ A byte goes if a `length`-byte string that covers it also starts earlier in the
    Larsson-Sadakane refinement (groups that still tie are sorted again by the rank h places on, h doubling
    up to `length`), takes common prefixes by Kasai's recurrence, and so finds which windows are repeated in it.
 3. Windows that are first in their shard go to the bucket of their anchor value: at most one copy a shard, so
-   the hottest passage costs a bucket no more than one entry a shard.  A bucket merges the shards' sorted window
-   fingerprints (64 bits) into a directory and finds each shard's windows in it by binary search; those that are
-   not the earliest go.
+   the hottest passage costs a bucket no more than one entry a shard.  A bucket merges the shards' windows into one
+   directory, sorted by 64-bit fingerprints, and finds each shard's windows in it by binary search.  Windows so found are
+   compared with the earliest byte by byte (a fingerprint that two strings share is looked up by the strings themselves);
+   those that are equal to an earlier one go.
 4. Shards join the removed windows with their documents and cut them out.
 
 Edge cases: null and empty texts have no bytes and nothing removed; texts shorter than `length` lose
-nothing; rows that repeat a doc_id are separate documents, ordered by their text (of equal rows one is earlier);
+nothing; rows that repeat a doc_id are separate documents, ordered by a hash of their text (of equal rows one is earlier);
 null ids sort first; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -186,18 +187,23 @@ def repeated_windows(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, leng
 
 
 # ---------------------------------------------------------------- the shards' steps
+#: Low bits of the order of rows of one id that number equal rows; the rest are the text's hash.
+SAME_BITS = 24
+
+
 def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], list[int]]:
-    """Ids, ordinals among rows of one id, and bytes of a shard's documents, ordered by id and text; and that order."""
+    """Ids, places among rows of one id, and bytes of a shard's documents, ordered by these; and that order."""
     ids = np.array([-(2**63) if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
+    seq = table.column("h").to_numpy() >> SAME_BITS << SAME_BITS
     body = [b"" if x is None else x for x in table.column("text").cast(pa.large_binary()).to_pylist()]
-    if len(np.unique(ids)) == len(ids):
-        order = np.argsort(ids).tolist()
-    else:
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], body[i]))
-    ids = ids[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = ids[1:] != ids[:-1]
-    seq = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0)) if len(ids) else np.zeros(0, np.int64)
+    order = np.lexsort((seq, ids)).tolist()
+    if len(order) and ((np.diff(ids[order]) == 0) & (np.diff(seq[order]) == 0)).any():
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], seq[i], body[i]))
+    ids, seq = ids[order], seq[order]
+    if len(ids):
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (seq[1:] != seq[:-1])
+        seq = seq + np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
     return ids, seq, [body[i] for i in order], order
 
 
@@ -367,6 +373,43 @@ def _block(block, ids, seq, sent, length, buckets, s, put) -> None:
         put(b[o[0]], ids[doc[o]], seq[doc[o]], a[o] + lo[o] - p[o], hi[o] - lo[o], b"".join(view[i : j + length - 1] for i, j in zip(lo[o].tolist(), hi[o].tolist())))
 
 
+def _unequal(text: np.ndarray, starts: np.ndarray, one: np.ndarray, other: np.ndarray, length: int) -> np.ndarray:
+    """Places in one (numbers of windows) whose bytes differ from those of the windows in other.
+
+    Where the windows before were compared too, and both follow them in the text, only the last byte is left to compare.
+    """
+    if not len(one):
+        return one
+    p, q = starts[one], starts[other]
+    after = np.zeros(len(one), bool)
+    after[1:] = (p[1:] == p[:-1] + 1) & (q[1:] == q[:-1] + 1)
+    bad = text[p + length - 1] != text[q + length - 1]
+    heads = np.flatnonzero(~after)
+    for lo in range(0, len(heads), 1 << 16):
+        h = heads[lo : lo + (1 << 16)]
+        span = np.arange(length)
+        bad[h] |= (text[p[h, None] + span] != text[q[h, None] + span]).any(axis=1)
+    return np.flatnonzero(bad)
+
+
+def _classes(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """For each window (in the order of documents) the number of the first that is equal to it."""
+    key = _text.span_hashes(text, starts, starts + length)
+    directory = np.sort(key)
+    directory = directory[np.concatenate([[True], directory[1:] != directory[:-1]])]
+    at = np.searchsorted(directory, key)
+    first = np.empty(len(directory), np.int64)
+    first[at[::-1]] = np.arange(len(key))[::-1]
+    first = first[at]
+    again = np.flatnonzero(first != np.arange(len(key)))
+    wrong = again[_unequal(text, starts, again, first[again], length)]
+    if len(wrong):  # strings that share a fingerprint
+        seen: dict[bytes, int] = {}
+        for i in np.flatnonzero(_in(key, np.unique(key[wrong]))).tolist():
+            first[i] = seen.setdefault(text[starts[i] : starts[i] + length].tobytes(), i)
+    return first
+
+
 def _merge(length: int):
     """One bucket: finds the shards' windows in the merged directory; passes on what the shards removed themselves."""
 
@@ -390,13 +433,7 @@ def _merge(length: int):
             ids, seq, pos, cnt, shard, head = (x[order] for x in (ids, seq, pos, cnt, shard, head))
             first = np.concatenate([[0], np.cumsum(cnt)])
             starts = np.arange(first[-1]) - np.repeat(first[:-1], cnt) + np.repeat(head, cnt)
-            key = _text.span_hashes(text, starts, starts + length)
-            directory = np.sort(key)
-            directory = directory[np.concatenate([[True], directory[1:] != directory[:-1]])]
-            at = np.searchsorted(directory, key)
-            earliest = np.empty(len(directory), np.int64)
-            earliest[at[::-1]] = np.arange(len(key))[::-1]
-            gone = earliest[at] != np.arange(len(key))
+            gone = _classes(text, starts, length) != np.arange(len(starts))
             # runs of removed windows within one context
             edge = gone.astype(np.int8)
             begin = edge.copy()
@@ -421,7 +458,7 @@ def _merge(length: int):
     return step
 
 
-_OUT_SQL = "doc_id long, ordinal int, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_text binary"
+_OUT_SQL = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_text binary"
 
 
 def _char_start(x: bytes, i: int) -> bool:
@@ -465,7 +502,6 @@ def _cut_out(length: int, keep_text: bool, whole_chars: bool, carry: list[str]):
         return pa.table(
             {
                 "doc_id": pa.array([None if i == none else int(i) for i in ids], pa.int64()),
-                "ordinal": pa.array(seq, pa.int32()),
                 "n_bytes": pa.array([len(x) for x in body], pa.int64()),
                 "n_removed": pa.array(n_removed, pa.int64()),
                 "spans": pa.array(lists, spans),
@@ -478,7 +514,7 @@ def _cut_out(length: int, keep_text: bool, whole_chars: bool, carry: list[str]):
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, digest_only: bool = False, whole_chars: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ordinal (among rows of one doc_id), n_bytes, n_removed, spans (removed byte runs), kept_text (the bytes left, or their SHA-256 in hex with digest_only), and the columns to carry.
+    """doc_id, n_bytes, n_removed, spans (removed byte runs), kept_text (the bytes left, or their SHA-256 in hex with digest_only), and the columns to carry.
 
     With whole_chars the runs are narrowed to whole characters, so that what is left is valid UTF-8.
     """
@@ -487,7 +523,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         k //= 2
     n = shard_count(docs, text, 2 << 20)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    dealt = docs.select(*(F.col(c).alias("_" + c) for c in carry), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(n)).cast("int").alias("s"))
+    dealt = docs.select(*(F.col(c).alias("_" + c) for c in carry), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
+    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("doc_id", "h"), F.lit(n)).cast("int"))
     values = dealt.groupBy("s").applyInArrow(_values_of(length, k, n), "b int, s int, once binary, more binary")
     shared = values.groupBy("b").applyInArrow(_shared_values, "s int, multi binary, own binary")
     steps = dealt.groupBy("s").cogroup(shared.groupBy("s")).applyInArrow(_in_shard(length, k, n), _STEP_SQL)
