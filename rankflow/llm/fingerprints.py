@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import shard_count
+from ._spark import shard_count, without
 from ._text import U, mix
 
 BINS = 256
@@ -76,7 +76,8 @@ def likeness(a: bytes, b: bytes) -> float:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", column: str = "fingerprint", words: int = WORDS) -> DataFrame:
-    """The table with the fingerprints of a text column, in hex."""
+    """The table with the fingerprints of a text column, in hex (instead of a column of that name)."""
+    docs = without(docs, [column], text)
 
     def step(batches):
         for batch in batches:

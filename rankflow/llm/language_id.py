@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import cut, shared_dir, small_batches
+from ._spark import cut, shared_dir, small_batches, without
 from ._text import U
 
 ORDER = 4
@@ -333,7 +333,8 @@ def learn(docs: DataFrame) -> Models:
 
 
 def identify(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """The table with lang_pred, score, cross_entropy and accepted (false: rejected)."""
+    """The table with lang_pred, score, cross_entropy and accepted (false: rejected), instead of columns of these names."""
+    docs = without(docs, ["lang_pred", "score", "cross_entropy", "accepted"], text)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def step(batches):

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._spark import without
 from ._text import U
 
 FIT_ROWS = 2500
+MOST_FIT_ROWS = 3 * FIT_ROWS
 BUCKETS = 1 << 18
 #: Texts of the sample that must have a bucket for it to get a row of its own.
 LEAST_TEXTS = 4
@@ -213,7 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     chosen = marks.where(F.expr("false"))
     for q, n in total.items():
         chosen = chosen.union(marks.where((F.col("toxic") == q) & (part < int(1_000_000 * min(1.0, FIT_ROWS / n)))))
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").collect()  # about 2 * FIT_ROWS ids
+    # 2 * FIT_ROWS ids, about; an id that very many rows have can't make it more rows than MOST_FIT_ROWS
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(MOST_FIT_ROWS).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     order = np.random.default_rng(5).permutation(len(rows))
     rows = [rows[i] for i in order]
@@ -225,7 +228,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier | None:
 
 
 def score(docs: DataFrame, model: Classifier | None, text: str = "text") -> DataFrame:
-    """The table with the score of each text, 0 to 1."""
+    """The table with the score of each text, 0 to 1 (instead of a column score, if there is one)."""
+    docs = without(docs, ["score"], text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batches):

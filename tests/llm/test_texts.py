@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import struct
@@ -157,6 +158,20 @@ def test_warc_round_trip_by_any_split(spark):
     assert warc.read_warc(warc.write_warc(warc.with_revisits(pages.limit(0)), folder + "-none")).count() == 0
 
 
+def test_warc_hard_rows(spark, monkeypatch):
+    """One payload in most rows, repeated and null ids, a very long payload, columns of other names."""
+    monkeypatch.setattr("rankflow.llm._spark.SHARE", 7)
+    rnd = random.Random(6)
+    long = "".join(rnd.choice("abcdefghijklmnop") for _ in range(1_500_000))
+    rows = [(i, "u", "hot") for i in range(100, 200)] + [(50, None, "hot"), (50, "u", "hot"), (None, "u", "hot"), (1, "u", None), (2, "u", ""), (3, "u", long), (4, "u", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS sha", "1 AS first", "2 AS c", "'p' AS payload")
+    folder = f"{warc.shared_dir(spark)}/test-warc-{uuid.uuid4().hex}"
+    got = warc.read_warc(warc.write_warc(warc.with_revisits(pages), folder), split_bytes=100_000).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to, r.payload_bytes) for r in got) == sorted(
+        [(str(i), "revisit", 50, 3) for i in [*range(100, 200), None]] + [("50", "response", None, 3)] * 2 + [("1", "response", None, 0), ("2", "revisit", 1, 0), ("3", "response", None, len(long)), ("4", "revisit", 3, len(long))]
+    )
+
+
 # ---------------------------------------------------------------- 4: n-gram join
 def components(rows, k=4, num=85, den=100):
     sets = {}
@@ -261,6 +276,30 @@ def test_repeats_equal_brute_force(spark, length):
     assert got == without_repeats(rows, length)
 
 
+def test_fingerprints_that_strings_share_remove_nothing(monkeypatch):
+    """With very few fingerprints windows are told apart by their bytes."""
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 99, 4000).astype(np.uint8)
+    starts = np.arange(len(text) - 12)
+    hashes = suffix_dedup._text.span_hashes
+    monkeypatch.setattr(suffix_dedup._text, "span_hashes", lambda *x: hashes(*x) % np.uint64(37))
+    seen, want = {}, []
+    for i in starts.tolist():
+        want.append(seen.setdefault(text[i : i + 12].tobytes(), i))
+    assert suffix_dedup._classes(text, starts, 12).tolist() == want
+
+
+def test_rows_of_one_id_are_ordered_and_dealt(spark):
+    """A third of the rows has no id: each is a document, and of each passage one copy stays."""
+    rnd = random.Random(4)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(150))
+    rows = [(None if i % 3 else i, f"{i:05d}" * 10 + passage) for i in range(120)] + [(None, "twice " * 40)] * 3
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = [bytes(r.kept_text).decode() for r in got]
+    assert len(got) == len(rows) and sum(passage in k for k in kept) == 1
+    assert sum("twice" in k for k in kept) == 1
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 99, 3000).astype(np.uint8)
@@ -349,9 +388,32 @@ def test_licences(spark, hard, none):
     rows = [(1, "MIT Licence\n\nCopyright (c) 2020 Jane\n\n" + licenses._MIT.upper()), (2, "text\nreleased under the  MIT license\nmore"), (3, None), (4, "no licence here")]
     got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("MIT", None), 2: (None, "MIT"), 3: (None, None), 4: (None, None)}
+    rows = [(1, "Released under the MIT License."), (1, "nothing here"), (None, "# SPDX-License-Identifier: Apache-2.0\n\nlicensed under CC BY-NC 4.0"), (2, licenses._ZLIB)]
+    got = [(r.license, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got == [(None, "MIT"), (None, None), (None, "Apache-2.0,CC-BY-NC-4.0"), ("Zlib", None)]
     assert licenses.scan(hard).count() == len(HARD) and licenses.scan(none).count() == 0
 
 
+def test_known_licences_are_those_of_the_system():
+    for name, file in (("GPL-3.0", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0")):
+        path = f"/usr/share/common-licenses/{file}"
+        if not os.path.exists(path):
+            pytest.skip("no licence texts here")
+        text = open(path).read()
+        for t in (text, text.upper().replace("\n", " \n\n")):
+            assert hashlib.sha256(licenses.canonical(t).encode()).hexdigest() == licenses.DIGESTS[name]
+
+
+def test_columns_of_the_names_that_are_made(spark, hard):
+    """They give way to what is made."""
+    odd = hard.selectExpr("doc_id", "text", "'x' AS score", "'y' AS lang_pred", "'z' AS accepted", "0 AS fingerprint", "1 AS cross_entropy")
+    got = language_id.identify(odd, language_id.Models()).columns
+    assert sorted(got) == sorted(set(got)) and language_id.identify(odd, language_id.Models()).count() == len(HARD)
+    assert {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
+    got = fingerprints.with_fingerprint(odd).collect()
+    assert len(got) == len(HARD) and all(isinstance(r.fingerprint, str) for r in got)
+
+
 # ---------------------------------------------------------------- 5 and 10: learnt operators
 def test_language_id(spark, hard, none):
     rnd = random.Random(8)
