@@ -1,10 +1,11 @@
 """Mixing sources to target weights.  SQL functions only.
 
 Each source's documents, in a pseudorandom order, are one stream of words, packed into blocks of `block` words (the last may be
-shorter).  A source gets as many slots as its target is worth in blocks, twice its blocks at most.  Slots are dealt over the output by a
-pseudorandom permutation of all slots, so the counts of sources in each output shard are multinomial draws given the totals,
-which come out exactly.  The j-th slot of a source takes block p(j) of the source's own permutation p of its blocks (a second round over
-the blocks has another), and blocks are joined by index with the pieces of documents in them.
+shorter).  A source is due as many slots of the output as its target is worth in blocks, twice its blocks at most.  The output has shards
+of `SHARD_SLOTS` slots.  Every slot draws its source by the shares of all slots, so the counts of sources in a shard are multinomial; the
+draws that a source gets beyond its due, in the order of slots, go to the sources that fall short, in their order, so that the totals come out
+exactly.  The j-th slot of a source takes block p(j) of the source's own permutation p of its blocks (a second round over the blocks has
+another), and blocks are joined by index with the pieces of documents in them.  What a document gives is read from the joined blocks.
 
 Permutations are swap-or-not shuffles: keyed, exact on any number of items, and computed for each item by itself.
 
@@ -58,26 +59,70 @@ def shuffled(df: DataFrame, column: str, n: str, key: str, out: str, inverse: bo
 
 def streams(docs: DataFrame, parts: int) -> DataFrame:
     """doc_id, sid (source number), size and start: the place of each document in its source's stream.  Prefix sums go by parts of a source, so no source meets in one task."""
-    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", F.lit("part")), F.lit(parts)))
+    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "h", F.lit("part")), F.lit(parts)))
     sums = dealt.groupBy("sid", "part").agg(F.sum("size").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sums.withColumn("base", before).select("sid", "part", "base")
-    within = Window.partitionBy("sid", "part").orderBy(F.xxhash64("doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sid", "part").orderBy(F.xxhash64("doc_id"), "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return dealt.join(base, ["sid", "part"]).withColumn("start", F.col("base") + F.col("within")).drop("part", "base", "within")
+    return dealt.join(base, ["sid", "part"]).withColumn("start", F.col("base") + F.col("within")).drop("part", "base", "within", "h")
 
 
-def slots_of(spark, plan: DataFrame, total: int, key: str) -> DataFrame:
-    """One row a slot: sid, j (slot of the source), block, shard and slot of the output.  plan: sid, blocks, slots, before."""
-    chunk = 4096
-    # a set number of parts: by their size before they grow, adaptive execution would put all chunks together
+def alias_table(weights: list[int]) -> tuple[list[float], list[int]]:
+    """Walker's table: a bin in the range of the weights stands for itself below its threshold, and for its alias above."""
+    n, total = len(weights), sum(weights)
+    left = [w * n / total for w in weights]
+    alias, small, large = list(range(n)), [i for i in range(n) if left[i] < 1], [i for i in range(n) if left[i] >= 1]
+    threshold = [1.0] * n
+    while small and large:
+        i, j = small.pop(), large[-1]
+        threshold[i], alias[i] = left[i], j
+        left[j] -= 1 - left[i]
+        if left[j] < 1:
+            small.append(large.pop())
+    return threshold, alias
+
+
+def _array(values, kind: str) -> str:
+    """A literal array of numbers, one string folded once."""
+    return f"cast(split('{','.join(map(repr, values))}', ',') as array<{kind}>)" if values else f"cast(array() as array<{kind}>)"
+
+
+def draws(spark, slots: list[int], key: str) -> DataFrame:
+    """shard, slot, sid, k (place among the shard's slots of the source): the source that each slot of the output draws."""
+    total, n = sum(slots), max(1, len(slots))
+    threshold, alias = alias_table(slots) if total else ([1.0], [0])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 200_000)
-    s = plan.where("slots > 0").select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {chunk})")).alias("c")).repartition(parts, "sid", "c")
-    s = s.select("sid", "blocks", "before", F.explode(F.expr(f"sequence(c * {chunk}, least((c + 1) * {chunk}, slots) - 1)")).alias("j"))
-    s = s.withColumn("pass", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks")).withColumn("g", F.expr("before + j"))
-    s = shuffled(s, "i", "blocks", f"'{key}', sid, pass", "block")
-    s = shuffled(s, "g", f"{total}L", f"'{key}'", "slot")
-    return s.select("sid", "j", "pass", "block", "slot", F.expr(f"slot div {SHARD_SLOTS}").alias("shard"))
+    s = spark.range(0, -(-total // SHARD_SLOTS), 1, parts).select(F.col("id").alias("shard"), F.explode(F.expr(f"sequence(id * {SHARD_SLOTS}, least((id + 1) * {SHARD_SLOTS}, {total}L) - 1)")).alias("slot"))
+    s = s.withColumn("bin", F.expr(f"cast(pmod(xxhash64('{key}', slot, 'bin'), {n}) as int)")).withColumn("toss", F.expr(f"shiftrightunsigned(xxhash64('{key}', slot, 'toss'), 11) / 9007199254740992D"))
+    s = s.select("shard", "slot", F.expr(f"if(toss < get({_array(threshold, 'double')}, bin), bin, get({_array(alias, 'int')}, bin))").alias("sid"))
+    return s.withColumn("k", F.row_number().over(Window.partitionBy("sid", "shard").orderBy("slot")) - 1)
+
+
+def slots_of(spark, blocks: list[int], slots: list[int], key: str) -> DataFrame:
+    """One row a slot of the output: shard, slot, sid, j (slot of the source), pass and block.  blocks, slots: of each source."""
+    drawn = draws(spark, slots, key)
+    counts = cut(drawn.groupBy("sid", "shard").agg(F.count("*").alias("c")))
+    # where a shard's slots begin among the source's: by runs of shards, so that no source meets in one task
+    runs = counts.withColumn("run", F.expr(f"shard div {SHARD_SLOTS}"))
+    sums = runs.groupBy("sid", "run").agg(F.sum("c").alias("s"))
+    got = {r.sid: r.s for r in sums.groupBy("sid").agg(F.sum("s").alias("s")).collect()}
+    before = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy("sid", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = runs.withColumn("within", before("c", "run", "shard")).join(sums.withColumn("base", before("s", "run")), ["sid", "run"]).select("sid", "shard", (F.col("base") + F.col("within")).alias("start"))
+    own = [got.get(i, 0) for i in range(len(slots))]
+    over, short, m, n = [], [], 0, 0  # what the sources before got too much, and too little
+    for g, w in zip(own, slots):
+        over.append(m)
+        short.append(n)
+        m, n = m + max(0, g - w), n + max(0, w - g)
+    due, have, past, lack, size = (_array(x, "bigint") for x in (slots, own, over, short, blocks))
+    s = drawn.join(starts, ["sid", "shard"]).withColumn("j", F.col("start") + F.col("k"))
+    s = s.withColumn("q", F.expr(f"if(j < get({due}, sid), null, get({past}, sid) + j - get({due}, sid))"))
+    s = s.withColumn("to", F.expr(f"if(q is null, sid, size(filter({lack}, x -> x <= q)) - 1)"))
+    s = s.withColumn("j", F.expr(f"if(q is null, j, get({have}, to) + q - get({lack}, to))"))
+    s = s.select("shard", "slot", F.col("to").alias("sid"), "j", F.expr(f"get({size}, to)").alias("blocks"))
+    s = s.withColumn("pass", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks"))
+    return shuffled(s, "i", "blocks", f"'{key}', sid, pass", "block").select("shard", "slot", "sid", "j", "pass", "block")
 
 
 class Mixture:
@@ -85,16 +130,15 @@ class Mixture:
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK, seed: str = "mix"):
         spark, self.block = docs.sparkSession, block
-        sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words_of(text)).cast("long").alias("size")))
+        sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words_of(text)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("h")))
         per = sorted(((r.source, r.s) for r in sized.groupBy("source").agg(F.sum("size").alias("s")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-        goal, rows, before = targets([s for _, s in per]), [], 0
+        goal, rows = targets([s for _, s in per]), []
         for i, ((name, s), t) in enumerate(zip(per, goal)):
             blocks = -(-s // block)
             n = min(2 * blocks, round(t / (s / blocks))) if blocks else 0
-            rows.append((i, name, s, float(t), blocks, n, before))
-            before += n
-        self.plan = spark.createDataFrame(rows, "sid int, source string, source_size long, target double, blocks long, slots long, before long")
-        self.total, self.seed = before, seed
+            rows.append((i, name, s, float(t), blocks, n))
+        self.plan = spark.createDataFrame(rows, "sid int, source string, source_size long, target double, blocks long, slots long")
+        self.blocks, self.due, self.seed = [r[4] for r in rows], [r[5] for r in rows], seed
         number = F.create_map(*[F.lit(x) for i, (name, _) in enumerate(per) for x in (name, i) if name is not None]) if any(n is not None for n, _ in per) else None
         sid = F.lit(len(per) - 1) if number is None else F.coalesce(F.try_element_at(number, F.col("source")), F.lit(len(per) - 1))
         parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -106,15 +150,14 @@ class Mixture:
     @cached_property
     def slots(self) -> DataFrame:
         # written out: conditions on the block must not be pushed through the rounds, where they would grow with each
-        return cut(slots_of(self.plan.sparkSession, self.plan.select("sid", "blocks", "slots", "before"), max(1, self.total), self.seed))
+        return cut(slots_of(self.plan.sparkSession, self.blocks, self.due, self.seed))
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target and taken of every row."""
-        uses = self.slots.groupBy("sid", "block").agg(F.count("*").alias("uses"))
-        got = self.pieces.join(uses, ["sid", "block"], "left").withColumn("t", F.coalesce(F.col("n") * F.col("uses"), F.lit(0)))
-        # documents of size 0 stand at one start: counted so that repeated rows stay
-        some = got.where("size > 0").groupBy("doc_id", "sid", "start", "size").agg(F.sum("t").alias("taken")).select("doc_id", "sid", "size", "taken")
-        none = got.where("size = 0").select("doc_id", "sid", "size", F.lit(0).cast("long").alias("taken"))
+        got = self.pieces.where("size > 0").join(self.slots.select("sid", "block", "slot"), ["sid", "block"], "left")
+        some = got.groupBy("doc_id", "sid", "start", "size").agg(F.sum(F.when(F.col("slot").isNull(), 0).otherwise(F.col("n"))).cast("long").alias("taken")).select("doc_id", "sid", "size", "taken")
+        # documents of size 0 stand at one start and give nothing: repeated rows stay
+        none = self.docs.where("size = 0").select("doc_id", "sid", "size", F.lit(0).cast("long").alias("taken"))
         of = self.plan.select("sid", "source_size", "target")
         return some.union(none).join(of, "sid").select("doc_id", "size", "source_size", "target", "taken")
 

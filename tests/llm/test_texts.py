@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pytest
+import xxhash
 
 from rankflow.llm import bpe, fingerprints, language_id, licenses, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, warc
 
@@ -378,6 +379,70 @@ def test_mix_meets_its_targets(spark):
     assert {r[0]: r[1] for r in out} == {r.doc_id: r.taken for r in got if r.taken}
 
 
+def xx(*values):
+    """The engine's hash of several columns: longs of 8 bytes, ints of 4, strings."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, I) else "<q", v), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+class I(int):  # noqa: E742
+    """A column of 32 bits."""
+
+
+def place(i, n, *key):
+    """Swap-or-not, by the book."""
+    for r in range(mixing.ROUNDS):
+        y = (xx(*key, I(r), "k") % n - i) % n
+        if xx(*key, I(r), max(i, y)) & 1:
+            i = y
+    return i
+
+
+def test_mix_equals_a_replay(spark, monkeypatch):
+    """Draws, corrections, permutations and blocks, one by one in plain Python."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 32)
+    rnd = random.Random(17)
+    rows = [(i, " ".join("w" for _ in range(rnd.randint(0, 90))), rnd.choice(["a", "a", "a", "b", "c", None])) for i in range(150)]
+    m = mixing.Mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=8)
+    plan = sorted(m.plan.collect(), key=lambda r: r.sid)
+    due, blocks, total = [r.slots for r in plan], [r.blocks for r in plan], sum(r.slots for r in plan)
+    threshold, alias = mixing.alias_table(due)
+    drawn = []
+    for slot in range(total):
+        b = xx("mix", slot, "bin") % len(due)
+        drawn.append(b if ((xx("mix", slot, "toss") % 2**64) >> 11) / 2**53 < threshold[b] else alias[b])
+    got, spare, where = [0] * len(due), [], {}
+    for sid in range(len(due)):
+        for slot in (x for x in range(total) if drawn[x] == sid):
+            if got[sid] < due[sid]:
+                where[slot] = (sid, got[sid])
+                got[sid] += 1
+            else:
+                spare.append(slot)
+    for sid in range(len(due)):
+        while got[sid] < due[sid]:
+            where[spare.pop(0)] = (sid, got[sid])
+            got[sid] += 1
+    assert not spare
+    want = {x: (x // 32, sid, j // blocks[sid], place(j % blocks[sid], blocks[sid], "mix", I(sid), j // blocks[sid])) for x, (sid, j) in where.items()}
+    assert {r.slot: (r.shard, r.sid, r["pass"], r.block) for r in m.slots.collect()} == want
+    uses = collections.Counter((sid, b) for _, sid, _, b in want.values())
+    taken = collections.Counter()
+    for r in m.docs.collect():
+        for word in range(r.start, r.start + r["size"]):
+            taken[r.doc_id] += uses[r.sid, word // 8]
+    assert {r.doc_id: r.taken for r in m.taken().collect()} == {i: taken[i] for i, *_ in rows}
+
+
+def test_alias_table_has_the_shares():
+    for weights in ([1], [5, 2, 1, 0, 7], [3] * 9):
+        threshold, alias = mixing.alias_table(weights)
+        share = [sum((threshold[b] if b == i else 0) + (1 - threshold[b] if alias[b] == i else 0) for b in range(len(weights))) / len(weights) for i in range(len(weights))]
+        assert share == pytest.approx([w / sum(weights) for w in weights])
+
+
 def test_mix_on_hard_rows(hard, none):
     assert mixing.Mixture(hard.drop("size", "part", "s", "n")).taken().count() == len(HARD)
     assert mixing.Mixture(none).taken().count() == 0
