@@ -145,3 +145,12 @@ def run_spec(text: str, n_ranks: int) -> RunSpec:
     if "algorithm" not in document:
         raise ConfigError("algorithm is missing")
     return RunSpec(_typed("data_folder", data["data_folder"], str), _typed("phase_id", data["phase_id"], int), _typed("algorithm", document["algorithm"], Algorithm), balance_config(document, n_ranks))
+
+
+def run_spec_file(path: str, n_ranks: int) -> RunSpec:
+    """A run description in a file that the driver can read."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return run_spec(f.read(), n_ranks)
+    except OSError as e:
+        raise ConfigError(f"{path}: {e.strerror}") from None

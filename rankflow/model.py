@@ -16,8 +16,8 @@ BLOCK = "block_id long, size double, home_rank int"
 TASK_BLOCK = "task_id long, block_id long"
 RANK_INFO = "rank int, footprint_bytes double, max_memory double"
 
-#: Clusters of one rank are numbered below this; a global id is local + rank * this.
-MAX_CLUSTERS = 1000
+#: Clusters of one rank are numbered below this, however many tasks it has; a global id is local + rank * this.
+MAX_CLUSTERS = 1 << 32
 
 
 @dataclass(frozen=True)

@@ -108,7 +108,7 @@ def _by_rank(t: Tables, edges: DataFrame, cluster) -> DataFrame:
             return pd.DataFrame({"rank": [], "task_id": [], "gid": []})
         rank, ids = int(tasks["rank"].iloc[0]), tasks["task_id"].tolist()
         of = cluster(ids, list(zip(links["u"].tolist(), links["v"].tolist(), links["weight"].tolist())))
-        return pd.DataFrame({"rank": rank, "task_id": ids, "gid": [of[x] + rank * MAX_CLUSTERS for x in ids]})
+        return pd.DataFrame({"rank": rank, "task_id": ids, "gid": [of[x] + rank * MAX_CLUSTERS for x in ids]}).astype({"rank": "int32", "gid": "int64"})
 
     return own.groupBy("rank").cogroup(e.groupBy("at")).applyInPandas(step, _OUT)
 
@@ -142,3 +142,23 @@ def singleton_gains(t: Tables, clusters: DataFrame, resolution: float) -> DataFr
     sizes = clusters.groupBy("gid").agg(F.count("*").alias("n"))
     own = to.join(c.withColumnRenamed("gid", "own"), "task_id").join(sizes, "gid")
     return own.select("task_id", "gid", (F.col("w") - F.lit(resolution) * (F.col("n") - F.when(F.col("gid") == F.col("own"), 1).otherwise(0))).alias("gain"))
+
+
+def matching_faults(t: Tables, edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row: n_tasks, and what speaks against a greedy matching: edges that outrank the pairs of both their ends (heavier first, then smaller ids), pairs without an edge, ids of several ranks or of more than two tasks."""
+    c = clusters.select("task_id", "gid")
+    ends = edges.join(c.withColumnRenamed("task_id", "u").withColumnRenamed("gid", "gu"), "u").join(c.withColumnRenamed("task_id", "v").withColumnRenamed("gid", "gv"), "v")
+    place = F.struct((-F.col("weight").cast("double")).alias("w"), "u", "v")
+    taken = ends.where("gu = gv").select(F.col("gu").alias("gid"), place.alias("p"))
+    first, second = (taken.select(F.col("gid").alias(g), F.col("p").alias(p)) for g, p in (("gu", "pu"), ("gv", "pv")))
+    over = ends.where("gu <> gv").withColumn("p", place).join(first, "gu", "left").join(second, "gv", "left").where((F.col("pu").isNull() | (F.col("p") < F.col("pu"))) & (F.col("pv").isNull() | (F.col("p") < F.col("pv"))))
+    sizes = clusters.groupBy("gid").agg(F.count("*").alias("n"), F.countDistinct("rank").alias("ranks"))
+    unlinked = sizes.where("n = 2").join(taken, "gid", "left_anti")
+    counts = [F.lit(x.agg(F.count("*")).scalar()).alias(n) for x, n in ((over, "outranked"), (unlinked, "unlinked"), (sizes.where("n > 2 or ranks > 1"), "odd"))]
+    return clusters.agg(F.countDistinct("task_id").alias("n_tasks")).select("n_tasks", *counts)
+
+
+def potts_faults(t: Tables, clusters: DataFrame, resolution: float) -> DataFrame:
+    """rank, n_tasks, shared_ids (clusters of other ranks with an id of this one), gains (the objective is not below that of tasks alone)."""
+    twice = clusters.select("rank", "gid").distinct().groupBy("gid").agg(F.count("*").alias("n"), F.collect_set("rank").alias("ranks")).where("n > 1").select(F.explode("ranks").alias("rank")).groupBy("rank").agg(F.count("*").alias("shared_ids"))
+    return clusters.groupBy("rank").agg(F.countDistinct("task_id").alias("n_tasks")).join(twice, "rank", "left").join(potts_objective(t, clusters, resolution), "rank").select("rank", "n_tasks", F.coalesce("shared_ids", F.lit(0)).alias("shared_ids"), (F.col("objective") >= 0).alias("gains"))

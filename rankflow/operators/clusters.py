@@ -10,7 +10,7 @@ from ..model import MAX_CLUSTERS, Tables
 
 
 def global_id(local: Column, rank: Column) -> Column:
-    return local + rank * MAX_CLUSTERS
+    return local.cast("long") + rank.cast("long") * F.lit(MAX_CLUSTERS)
 
 
 def local_id(gid: Column) -> Column:
@@ -32,8 +32,11 @@ def unclustered(t: Tables, clusters: DataFrame) -> DataFrame:
 
 
 def add_cluster(clusters: DataFrame, tasks: DataFrame, gid: int | None = None) -> DataFrame:
-    """Registers (rank, task_id) as one more cluster, of the id given or the next free one."""
-    number = F.lit(gid) if gid is not None else F.coalesce(clusters.agg(F.max("gid") + 1).scalar(), F.lit(0))
+    """Registers (rank, task_id) as one more cluster, of the id given or the next free one of the tasks' rank."""
+    number = F.lit(gid)
+    if gid is None:
+        tasks = tasks.join(clusters.groupBy("rank").agg((F.max("gid") + 1).alias("free")), "rank", "left")
+        number = F.coalesce("free", global_id(F.lit(0), F.col("rank")))
     return clusters.join(tasks, "task_id", "left_anti").unionByName(tasks.select("rank", "task_id", number.cast("long").alias("gid")))
 
 

@@ -12,11 +12,17 @@ from ..config import CMF, BalanceConfig, Criterion, Ordering
 from ..functions.lineage import cut
 from ..model import Tables
 from . import clustering, gossip, whatif
-from .rules import loads_and_average, object_order
+from .rules import object_order
 from .work import rank_load, statistics, work_breakdown
 
 
-def _fits(kind: Criterion, over: float, under: float, load: float, average: float) -> bool:
+#: Resolution of the communication clusters of a balancing iteration.
+LOOP_RESOLUTION = 1000.0
+
+
+def _fits(kind: Criterion, over: float, under: float, load: float, average: float, alpha: float = 1.0) -> bool:
+    """Whether an object may go; loads are scaled by the ranks' factor."""
+    over, under, load = over * alpha, under * alpha, load * alpha
     return under + load <= average if kind is Criterion.Grapevine else load <= over - under
 
 
@@ -36,20 +42,20 @@ def _pick(candidates: list[int], load: dict[int, float], kind: CMF, target: floa
 
 def decide(tasks: list[tuple[int, float, bool]], own: int, load: dict[int, float], average: float, cfg: BalanceConfig) -> tuple[list[tuple[int, int]], float]:
     """The (task, destination) moves that one overloaded rank wants, for its tasks (id, load, migratable) in order; and its load after them."""
-    load = dict(load)
-    under = sorted(r for r, x in load.items() if x < average and r != own)
+    load, a = dict(load), cfg.work.rank_alpha
+    under = sorted(r for r, x in load.items() if x * a < average and r != own)
     moves, candidates = [], under
     for task, size, movable in tasks:
-        if load[own] <= average or not under:
+        if load[own] * a <= average or not under:
             break
         if cfg.cmf_type is CMF.Original:
-            candidates = sorted(r for r, x in load.items() if x < average and r != own)
+            candidates = sorted(r for r, x in load.items() if x * a < average and r != own)
         elif cfg.cmf_type is CMF.NormByMaxExcludeIneligible:
-            candidates = sorted(r for r in load if r != own and _fits(cfg.criterion, load[own], load[r], size, average))
+            candidates = sorted(r for r in load if r != own and _fits(cfg.criterion, load[own], load[r], size, average, a))
         if not candidates:
             continue
-        to = _pick(candidates, load, cfg.cmf_type, average, cfg.draw)
-        if to is not None and movable and _fits(cfg.criterion, load[own], load[to], size, average):
+        to = _pick(candidates, {r: x * a for r, x in load.items()}, cfg.cmf_type, average, cfg.draw)
+        if to is not None and movable and _fits(cfg.criterion, load[own], load[to], size, average, a):
             moves.append((task, to))
             load[own] -= size
             load[to] += size
@@ -58,10 +64,12 @@ def decide(tasks: list[tuple[int, float, bool]], own: int, load: dict[int, float
 
 def transfer_tasks(t: Tables, cfg: BalanceConfig) -> DataFrame:
     """task_id, rank after one round: overloaded ranks decide by what they know, receivers accept in the order (source, turn) up to the largest load before."""
-    per = cut(loads_and_average(t).withColumn("load", F.col("load").cast("double")).withColumn("most", F.max("load").over(_whole())))
+    alpha = cfg.work.rank_alpha
+    per = rank_load(t).select("rank", (F.col("load") * F.lit(alpha)).cast("double").alias("load"))
+    per = cut(per.select("*", *(F.lit(per.agg(f("load")).scalar()).alias(n) for f, n in ((F.avg, "average"), (F.max, "most")))))
     known = gossip.knowledge(t.rank_info.select("rank"), cfg.n_rounds, cfg.fanout, cfg.seed)
     known = known.join(per.select(F.col("rank").alias("known"), "load", "average"), "known").withColumnRenamed("knower", "rank")
-    order = object_order(t, cfg.obj_ordering if cfg.obj_ordering is not Ordering.Arbitrary else Ordering.ElmID)
+    order = object_order(t, cfg.obj_ordering if cfg.obj_ordering is not Ordering.Arbitrary else Ordering.ElmID, alpha)
     tasks = order.join(t.task.select("task_id", F.col("load").cast("double").alias("load"), "migratable"), "task_id")
 
     def giver(objects: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
@@ -83,7 +91,7 @@ def transfer_tasks(t: Tables, cfg: BalanceConfig) -> DataFrame:
         rows = rows.sort_values(["src", "turn"])
         held, taken = float(rows["held"].iloc[0]), []
         for task, size, most in zip(rows["task_id"], rows["load"], rows["most"]):
-            if held + size <= most:
+            if (held + size) * alpha <= most:
                 held += size
                 taken.append(task)
         return pd.DataFrame({"task_id": taken, "rank": int(rows["dst"].iloc[0])})
@@ -92,27 +100,21 @@ def transfer_tasks(t: Tables, cfg: BalanceConfig) -> DataFrame:
     return t.task.select("task_id", "rank").join(moved, "task_id", "left").select("task_id", F.coalesce("new_rank", "rank").alias("rank"))
 
 
-def _whole():
-    """All ranks together: one row a rank."""
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(F.lit(0))
-
-
 def transfer_clusters(t: Tables, clusters: DataFrame, cfg: BalanceConfig) -> DataFrame:
-    """task_id, rank after one round: each rank above the mean work proposes its best cluster move; proposals are granted by improvement, a rank being in one of them at most, so every granted delta holds."""
-    wanted = whatif.best(whatif.candidates(t, clusters, cfg.work)).where("improvement > 0")
+    """task_id, rank after one round: each rank above the mean work proposes the best cluster move, given or received, with the ranks it knows; proposals are granted by improvement, a rank being in one of them at most, so every granted delta holds."""
+    known = gossip.knowledge(t.rank_info.select("rank"), cfg.n_rounds, cfg.fanout, cfg.seed)
+    wanted = whatif.best(whatif.candidates(t, clusters, cfg.work, known)).where("improvement > 0")
 
     def grant(rows: pd.DataFrame) -> pd.DataFrame:
         busy, out = set(), []
-        for gid, src, dst in rows.sort_values(["improvement", "src"], ascending=[False, True])[["gid", "src", "dst"]].itertuples(index=False):
+        for gid, src, dst in rows.sort_values(["improvement", "initiator"], ascending=[False, True])[["gid", "src", "dst"]].itertuples(index=False):
             if src not in busy and dst not in busy:
                 busy |= {src, dst}
                 out.append((gid, dst))
         return pd.DataFrame(out, columns=["gid", "new_rank"])
 
     # one row a rank at most
-    granted = wanted.select("gid", "src", "dst", "improvement", F.lit(0).alias("all")).groupBy("all").applyInPandas(grant, "gid long, new_rank int")
+    granted = wanted.select("gid", "initiator", "src", "dst", "improvement", F.lit(0).alias("all")).groupBy("all").applyInPandas(grant, "gid long, new_rank int")
     placed = clusters.select("task_id", "gid").join(F.broadcast(granted), "gid").select("task_id", "new_rank")
     return t.task.select("task_id", "rank").join(placed, "task_id", "left").select("task_id", F.coalesce("new_rank", "rank").alias("rank"))
 
@@ -127,6 +129,8 @@ class Balanced:
 def rebalance(t: Tables, cfg: BalanceConfig, early_stop: bool = False) -> Balanced:
     """Trials of iterations from the same start; the trial with the least largest work wins, the first of equals."""
     spark = t.task.sparkSession
+    # read once: each iteration would go back to the sources else
+    t = Tables(cut(t.task), cut(t.edge), cut(t.block), cut(t.task_block), cut(t.rank_info))
     start, rows, results = cut(t.task.select("task_id", "rank")), [], []
     for trial in range(cfg.num_trials):
         own = cfg if trial == 0 or cfg.deterministic else BalanceConfig(**{**cfg.__dict__, "seed": cfg.seed + trial})
@@ -138,7 +142,7 @@ def rebalance(t: Tables, cfg: BalanceConfig, early_stop: bool = False) -> Balanc
             if i == cfg.num_iters or (early_stop and s.imbalance <= cfg.converge_tolerance):
                 break
             if cfg.work.by_clusters:
-                groups = clustering.communication_matching(now) if cfg.based_on_communication else clustering.block_matching(now)
+                groups = clustering.potts_clusters(now, LOOP_RESOLUTION) if cfg.based_on_communication else clustering.block_matching(now)
                 placed = cut(transfer_clusters(now, cut(groups), own))
             else:
                 placed = cut(transfer_tasks(now, own))

@@ -18,9 +18,12 @@ def accepts(criterion: Criterion, over: Column, under: Column, load: Column, ave
     return load * F.lit(alpha) <= over - under
 
 
-def loads_and_average(t: Tables) -> DataFrame:
-    """rank, load, average (one number, joined by a scalar subquery)."""
+def loads_and_average(t: Tables, alpha: float = 1.0) -> DataFrame:
+    """rank, load, average (one number, joined by a scalar subquery).  Loads are what compute is worth by the rank's factor, scaled by it once more where they are compared."""
     per = rank_load(t)
+    if alpha != 1.0:
+        per = per.withColumn("load", F.col("load") * F.lit(alpha))
+        return per.select("rank", (F.col("load") * F.lit(alpha)).alias("load"), F.lit(per.agg(F.avg("load")).scalar()).alias("average"))
     return per.select("rank", "load", F.lit(per.agg(F.sum("load") / F.count(F.lit(1))).scalar()).alias("average"))
 
 
@@ -59,10 +62,10 @@ def sample(cmf: DataFrame, draw: float) -> DataFrame:
     return cmf.where(F.col("cmf") >= draw).agg(F.min("rank").alias("rank"))
 
 
-def object_order(t: Tables, ordering: Ordering) -> DataFrame:
+def object_order(t: Tables, ordering: Ordering, alpha: float = 1.0) -> DataFrame:
     """rank, task_id, pos: the order in which overloaded ranks offer their tasks; ties go by id."""
-    over = loads_and_average(t).where("load > average").select("rank", F.col("load").alias("rload"), (F.col("load") - F.col("average")).alias("excess"))
-    df = t.task.select("task_id", "rank", "load").join(over, "rank")
+    over = loads_and_average(t, alpha).where("load > average").select("rank", F.col("load").alias("rload"), (F.col("load") - F.col("average")).alias("excess"))
+    df = t.task.select("task_id", "rank", "load" if alpha == 1.0 else (F.col("load") * F.lit(alpha)).alias("load")).join(over, "rank")
     own = Window.partitionBy("rank")
     if ordering in (Ordering.ElmID, Ordering.Arbitrary):
         keys = [F.col("task_id")]

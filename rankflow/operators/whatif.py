@@ -22,10 +22,12 @@ def after_task_moves(t: Tables, moves: DataFrame, m: WorkModel) -> DataFrame:
     return work_breakdown(t.placed(placed), m)
 
 
-def cluster_moves(t: Tables, clusters: DataFrame) -> DataFrame:
-    """gid, src, dst: every cluster to every other rank."""
+def cluster_moves(t: Tables, clusters: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """gid, src, dst: every cluster to every other rank; with pairs (src, dst), to those only."""
     own = clusters.select("gid", F.col("rank").alias("src")).distinct()
-    return own.join(F.broadcast(t.rank_info.select(F.col("rank").alias("dst"))), F.col("src") != F.col("dst"))
+    if pairs is not None:
+        return own.join(pairs.select("src", "dst"), "src").select("gid", "src", "dst")
+    return own.join(t.rank_info.select(F.col("rank").alias("dst")), F.col("src") != F.col("dst"))
 
 
 def _bytes_by_rank(t: Tables, clusters: DataFrame) -> DataFrame:
@@ -50,10 +52,10 @@ def _block_changes(t: Tables, clusters: DataFrame, moves: DataFrame) -> DataFram
     return moves.join(lost, "gid", "left").join(won, ["gid", "dst"], "left").select("gid", "src", "dst", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("lost_off", "lost_all", "won_off", "won_all")))
 
 
-def cluster_move_work(t: Tables, clusters: DataFrame, m: WorkModel) -> DataFrame:
-    """For every move of a cluster: gid, src, dst, the work of both ranks before and after, and the improvement of the larger."""
+def cluster_move_work(t: Tables, clusters: DataFrame, m: WorkModel, pairs: DataFrame | None = None) -> DataFrame:
+    """For every move of a cluster (between the ranks of pairs, if given): gid, src, dst, the work of both ranks before and after, and the improvement of the larger."""
     base = work_breakdown(t, m)
-    moves = _block_changes(t, clusters, cluster_moves(t, clusters))
+    moves = _block_changes(t, clusters, cluster_moves(t, clusters, pairs))
     c = C.loads(t, clusters).select("gid", F.col("load").alias("c_load")).join(C.intra_bytes(t, clusters).select("gid", F.col("intra").alias("c_intra")), "gid")
     v = _bytes_by_rank(t, clusters)
     total = v.groupBy("gid").agg(F.sum("out_v").alias("out_all"), F.sum("in_v").alias("in_all"))
@@ -74,9 +76,9 @@ def cluster_move_work(t: Tables, clusters: DataFrame, m: WorkModel) -> DataFrame
     return df.select("gid", "src", "dst", "work_src", "work_dst", "after_src", "after_dst", "improvement", "lost_all", "won_all")
 
 
-def cluster_move_memory(t: Tables, clusters: DataFrame) -> DataFrame:
+def cluster_move_memory(t: Tables, clusters: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """gid, dst, usage (of the destination with the cluster), fits."""
-    moves = _block_changes(t, clusters, cluster_moves(t, clusters))
+    moves = _block_changes(t, clusters, cluster_moves(t, clusters, pairs))
     now = memory_usage(t).join(t.rank_info.select("rank", "max_memory"), "rank").withColumnRenamed("rank", "dst")
     c = C.memory(t, clusters).select("gid", "footprint", F.col("max_working").alias("cw"), F.col("max_serialized").alias("cs"))
     df = moves.join(c, "gid").join(now, "dst")
@@ -84,17 +86,30 @@ def cluster_move_memory(t: Tables, clusters: DataFrame) -> DataFrame:
     return df.select("gid", "dst", usage.alias("usage"), (F.col("max_memory").isNull() | (usage <= F.col("max_memory"))).alias("fits"))
 
 
-def candidates(t: Tables, clusters: DataFrame, m: WorkModel) -> DataFrame:
-    """Moves away from ranks above the mean work, to ranks whose memory has room, with their improvement."""
+def candidates(t: Tables, clusters: DataFrame, m: WorkModel, known: DataFrame | None = None) -> DataFrame:
+    """initiator, gid, src, dst, after_src, after_dst, improvement: the moves that ranks above the mean work can start, where the destination's memory has room.
+
+    Such a rank gives a cluster to another rank, or receives one from it, which helps where it makes traffic or blocks local.
+    known (knower, known): a rank takes only ranks that it knows into account; without it all.
+    """
     base = work_breakdown(t, m)
-    mean = base.agg(F.avg("work")).scalar()
-    work = cluster_move_work(t, clusters, m).where(F.col("work_src") > mean)
-    return work.join(cluster_move_memory(t, clusters).where("fits").select("gid", "dst"), ["gid", "dst"]).select("gid", "src", "dst", "after_src", "after_dst", "improvement")
+    over = base.where(F.col("work") > base.agg(F.avg("work")).scalar()).select(F.col("rank").alias("initiator"))
+    if known is None:
+        seen = over.join(t.rank_info.select(F.col("rank").alias("other")), F.col("initiator") != F.col("other"))
+    else:
+        seen = known.select(F.col("knower").alias("initiator"), F.col("known").alias("other")).where("initiator <> other").join(over, "initiator")
+    give = seen.select("initiator", F.col("initiator").alias("src"), F.col("other").alias("dst"))
+    both = give.union(seen.select("initiator", F.col("other").alias("src"), F.col("initiator").alias("dst")))
+    pairs = both.select("src", "dst").distinct()
+    work = cluster_move_work(t, clusters, m, pairs)
+    fits = cluster_move_memory(t, clusters, pairs).where("fits").select("gid", "dst")
+    return work.join(fits, ["gid", "dst"]).join(both, ["src", "dst"]).select("initiator", "gid", "src", "dst", "after_src", "after_dst", "improvement")
 
 
 def best(cands: DataFrame, n: int = 1) -> DataFrame:
-    """The best n moves of each source: by improvement, then the least work after at the source, then at the destination, then ids."""
+    """The best n moves of each initiator: by improvement, then its own least work after, then the other's, then ids."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("src").orderBy(F.col("improvement").desc(), "after_src", "after_dst", "dst", "gid")
+    own, other = (F.when(F.col("initiator") == F.col("src"), F.col(a)).otherwise(F.col(b)) for a, b in (("after_src", "after_dst"), ("after_dst", "after_src")))
+    w = Window.partitionBy("initiator").orderBy(F.col("improvement").desc(), own, other, "dst", "src", "gid")
     return cands.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)

@@ -43,9 +43,11 @@ def communication(t: Tables) -> DataFrame:
 
 
 def used_blocks(t: Tables) -> DataFrame:
-    """rank, block_id, size, home_rank: the distinct blocks that a rank's tasks use."""
+    """rank, block_id, size, home_rank: the distinct blocks that a rank's tasks use; one that is not in the table of blocks raises."""
     used = t.task_block.join(t.task.select("task_id", "rank"), "task_id").select("rank", "block_id").distinct()
-    return used.join(t.block, "block_id").select("rank", "block_id", "size", "home_rank")
+    known = t.block.select("block_id", "size", "home_rank", F.lit(True).alias("known"))
+    missing = F.raise_error(F.concat(F.lit("no information on shared block "), F.col("block_id").cast("string")))
+    return used.join(known, "block_id", "left").select("rank", "block_id", F.when(F.col("known"), F.col("size")).otherwise(missing.cast(t.block.schema["size"].dataType)).alias("size"), "home_rank")
 
 
 def shared_bytes(t: Tables) -> DataFrame:

@@ -38,7 +38,7 @@ def test_zero_weights_read_no_edges(t):
 
 
 def given(t, spark):
-    return spark.createDataFrame([(0, 1, 0), (0, 2, 0), (0, 3, 1), (1, 4, 1000)], "rank int, task_id long, gid long")
+    return spark.createDataFrame([(0, 1, 0), (0, 2, 0), (0, 3, 1), (1, 4, model.MAX_CLUSTERS)], "rank int, task_id long, gid long")
 
 
 def test_every_move_delta_is_a_recomputation(t, spark):
@@ -95,9 +95,11 @@ def test_graph_hygiene(t, spark):
 def test_clusters(t, spark):
     c = given(t, spark)
     assert clusters.unclustered(t, c).count() == 0
-    assert {r.gid: (r.intra, r.boundary) for r in clusters.boundary_bytes(t, c).collect()} == {0: (5, 9), 1: (0, 13), 1000: (0, 18)}
+    assert {r.gid: (r.intra, r.boundary) for r in clusters.boundary_bytes(t, c).collect()} == {0: (5, 9), 1: (0, 13), model.MAX_CLUSTERS: (0, 18)}
     assert clusters.summaries(t, c).count() == 3
-    assert clusters.add_cluster(c.where("gid <> 1"), spark.createDataFrame([(0, 3)], "rank int, task_id long")).where("task_id = 3").first().gid == 1001
+    assert clusters.add_cluster(c.where("gid <> 1"), spark.createDataFrame([(0, 3)], "rank int, task_id long")).where("task_id = 3").first().gid == 1
+    alone = clusters.add_cluster(c, spark.createDataFrame([(2, 9)], "rank int, task_id long")).where("task_id = 9").first().gid
+    assert alone == 2 * model.MAX_CLUSTERS
     for f in (clustering.communication_matching, clustering.block_matching, clustering.potts_clusters):
         assert {r.task_id for r in f(t).collect()} == {1, 2, 3, 4}
 
@@ -107,3 +109,52 @@ def test_potts_joins_a_clique_and_splits_the_rest():
     of = clustering.potts([0, 1, 2, 3, 4, 9], edges, 5.0)
     assert len({of[i] for i in range(4)}) == 1 and len({of[0], of[4], of[9]}) == 3
     assert clustering.potts([], [], 5.0) == {}
+
+
+def test_blocks_without_information_raise(t):
+    lacking = model.Tables(t.task, t.edge, t.block.where("block_id <> 101"), t.task_block, t.rank_info)
+    with pytest.raises(Exception, match="shared block 101"):
+        work.shared_bytes(lacking).collect()
+
+
+def test_candidates_have_both_sides(t, spark):
+    """Rank 0 is above the mean: it gives its clusters to either rank and may receive that of rank 1."""
+    c = given(t, spark)
+    got = {(r.initiator, r.gid, r.src, r.dst) for r in whatif.candidates(t, c, M).collect()}
+    assert got == {(0, 0, 0, 1), (0, 0, 0, 2), (0, 1, 0, 1), (0, 1, 0, 2), (0, model.MAX_CLUSTERS, 1, 0)}
+    known = spark.createDataFrame([(0, 0), (0, 2), (1, 0)], "knower int, known int")
+    assert {(r.gid, r.dst) for r in whatif.candidates(t, c, M, known).collect()} == {(0, 2), (1, 2)}
+    # all traffic and blocks of two ranks come together: receiving is what lowers the top
+    near = model.Tables(
+        spark.createDataFrame([(1, 0, 0, True, 10.0, 0.0, 0.0, 0.0), (2, 1, 1, True, 1.0, 0.0, 0.0, 0.0)], model.TASK), spark.createDataFrame([(1, 2, 1000.0)], model.EDGE), t.block, t.task_block.limit(0), t.rank_info
+    )
+    one = whatif.best(whatif.candidates(near, spark.createDataFrame([(0, 1, 0), (1, 2, model.MAX_CLUSTERS)], "rank int, task_id long, gid long"), M)).where("initiator = 0").first()
+    assert (one.src, one.dst) == (1, 0) or one.src == 0 and one.improvement > 0
+
+
+def test_alpha_scales_what_is_compared(t):
+    cfg = BalanceConfig(work=WorkModel(rank_alpha=2.0))
+    tasks, load = [(1, 10.0, True), (2, 20.0, True), (3, 30.0, True)], {0: 120.0, 1: 12.0, 2: 0.0}
+    # 240 and 24 and 0 against a mean of 44: tasks count twice too, and what is left is above the mean by more
+    moves, left = decide(tasks, 0, load, 44.0, cfg)
+    assert [m[0] for m in moves] == [1, 2, 3] and left == 60.0
+    assert decide(tasks, 0, {0: 21.0, 1: 0.0}, 44.0, cfg)[0] == []
+    assert rebalance.rebalance(t, BalanceConfig(num_iters=1, n_rounds=1, work=WorkModel(rank_alpha=0.5))).assignment.count() == 4
+
+
+def test_cluster_ids_differ_between_ranks(spark):
+    task = spark.createDataFrame([(i, i % 2, 0, True, 1.0, 0.0, 0.0, 0.0) for i in range(4200)], model.TASK)
+    none = model.empty_tables(spark)
+    t = model.Tables(task, none.edge, none.block, none.task_block, spark.createDataFrame([(0, 0.0, None), (1, 0.0, None)], model.RANK_INFO))
+    c = clustering.communication_matching(t)
+    assert c.select("gid").distinct().count() == 4200
+    assert c.where(clusters.rank_of(F.col("gid")) != F.col("rank")).count() == 0
+
+
+def test_matching_faults_are_found(t, spark):
+    good = clustering.communication_matching(t)
+    assert tuple(clustering.matching_faults(t, graph.undirected(t), good).first()) == (4, 0, 0, 0)
+    bad = spark.createDataFrame([(0, 1, 0), (0, 2, 1), (0, 3, 0), (1, 4, 9)], "rank int, task_id long, gid long")
+    assert tuple(clustering.matching_faults(t, graph.undirected(t), bad).first()) == (4, 1, 0, 0)
+    alone = spark.createDataFrame([(0, 1, 0), (0, 2, 1), (0, 3, 2), (1, 4, 9)], "rank int, task_id long, gid long")
+    assert clustering.matching_faults(t, graph.undirected(t), alone).first().outranked > 0
