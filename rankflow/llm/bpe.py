@@ -7,6 +7,9 @@ the last tokens of the left and the first of the right are encoded anew in a gro
 tokens are the ones that stood there.  A sequence of tokens is the encoding of its text if each two neighbours are the encoding of theirs,
 so agreement on both sides makes the join exact.
 
+Texts with an unsplit run of `LONG_RUN` characters or more go another way, in which the halves are rows of their own: a task cuts such a
+word into leaves of `LEAF_ROW` symbols, which are dealt over all tasks and encoded in parallel, and meet again for the joins.
+
 Edge cases: null and empty texts have no tokens and decode to the empty string; special tokens written in a text are encoded as
 such, as the library does by default; ids may repeat or be null, other columns are ignored.
 """
@@ -26,6 +29,9 @@ from . import _text
 from ._spark import small_batches
 
 LEAF = 64
+#: Characters of an unsplit run from which on its leaves are encoded in parallel, and symbols of such a leaf.
+LONG_RUN = 1 << 15
+LEAF_ROW = 1 << 12
 #: Words kept by a worker; when there would be more the cache starts anew before a batch, whose own words it holds all, however many.
 CACHE_WORDS = 150_000
 #: Characters whose normal form, lower case and class are plain: texts of these take the quick way.
@@ -109,10 +115,34 @@ class WordCodec:
             i = i if ok_left else min(2 * i, len(left))
             j = j if ok_right else min(2 * j, len(right))
 
+    def symbols(self, mapped: str, last: bool = True) -> list[int]:
+        """The symbols of (the last part of) a word in the byte alphabet."""
+        return [self.vocab[c] for c in mapped[:-1]] + [self.vocab[mapped[-1] + (self.end if last else "")]]
+
     def piece(self, mapped: str) -> list[int]:
         """A word in the byte alphabet."""
-        symbols = [self.vocab[c] for c in mapped[:-1]] + [self.vocab[mapped[-1] + self.end]]
-        return self.tree(symbols)
+        return self.tree(self.symbols(mapped))
+
+    def joined(self, leaves: list[list[int]]) -> list[int]:
+        """The leaves of one word, joined two by two."""
+        while len(leaves) > 1:
+            leaves = [self.join(leaves[i], leaves[i + 1]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
+        return leaves[0]
+
+    def leaves(self, text: str, size: int):
+        """(number, leaf, last, symbols in the byte alphabet, ids) of a text: leaves of words above the size, and ids of all that is between them."""
+        number, ids = 0, []
+        for token, p in self.words(text):
+            if p is None:
+                ids.append(token)
+            elif len(p) <= size:
+                ids += self.piece(p)
+            else:
+                yield number, 0, True, None, ids
+                for k in range(0, len(p), size):
+                    yield number + 1, k // size, k + size >= len(p), p[k : k + size], None
+                number, ids = number + 2, []
+        yield number, 0, True, None, ids
 
     # ------------------------------------------------------------ texts
     def _learn(self, words: list[str]) -> None:
@@ -136,15 +166,20 @@ class WordCodec:
         self.ids[word] = ids.astype("<u4").tobytes()
         self.said[word] = " ".join(map(self.names.__getitem__, ids.tolist()))
 
-    def _general(self, text: str) -> list[int]:
-        out: list[int] = []
+    def words(self, text: str):
+        """(id, None) of special tokens and (None, word in the byte alphabet) of the rest."""
         for part in self.special_split.split(text) if self.special_split else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                yield self.special[part], None
             elif part:
                 plain = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
                 for p, _ in self.library.pre_tokenizer.pre_tokenize_str(plain):
-                    out += self.piece(p)
+                    yield None, p
+
+    def _general(self, text: str) -> list[int]:
+        out: list[int] = []
+        for token, p in self.words(text):
+            out += [token] if p is None else self.piece(p)
         return out
 
     def forget(self) -> None:
@@ -213,7 +248,53 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids binary", "decoded string"])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(step, schema)
+    docs = docs.select(*keep, F.col(text).alias("__text"))
+    far = F.expr(f"coalesce(length(__text) >= {LONG_RUN} and exists(split(__text, '\\\\s+'), w -> length(w) >= {LONG_RUN}), false)")
+    return docs.where(~far).mapInArrow(step, schema).union(_in_leaves(docs.where(far), source, keep, kinds))
+
+
+def _in_leaves(docs: DataFrame, source, keep: list[str], kinds: dict[str, str]) -> DataFrame:
+    """As `encode` for texts with very long unsplit words: leaves are encoded in parallel, then joined.  Equal rows go once and are multiplied at the end."""
+    docs = docs.groupBy(*keep, "__text").agg(F.count("*").alias("__copies"))
+    every = [F.col(c) for c in (*keep, "__text")]
+    docs = docs.withColumn("__row", F.xxhash64(*every)).withColumn("__again", F.xxhash64(F.lit("again"), *every))
+    own = [*keep, "__copies", "__row", "__again"]
+    named = [*(f"`{c}` {kinds[c]}" for c in keep), "__copies long", "__row long", "__again long"]
+    cells = pa.schema([("number", pa.int32()), ("leaf", pa.int32()), ("last", pa.bool_()), ("symbols", pa.string()), ("ids", pa.binary())])
+    size = LEAF_ROW
+
+    def cut_up(batches):
+        codec = _codec(source.value)
+        for batch in batches:
+            for i, t in enumerate(batch.column("__text").to_pylist()):
+                got = [(n, k, last, s, None if x is None else np.array(x, "<u4").tobytes()) for n, k, last, s, x in codec.leaves(t, size)]
+                one = [batch.column(c).take(pa.array([i] * len(got))) for c in own]
+                yield pa.RecordBatch.from_arrays([*one, *(pa.array(v, f.type) for v, f in zip(zip(*got), cells))], [*own, *cells.names])
+
+    def coded(batches):
+        codec = _codec(source.value)
+        for batch in batches:
+            ids = [x if s is None else np.array(codec.tree(codec.symbols(s, last)), "<u4").tobytes() for s, last, x in zip(*(batch.column(c).to_pylist() for c in ("symbols", "last", "ids")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), batch.column("number"), batch.column("leaf"), pa.array(ids, pa.binary())], [*own, "number", "leaf", "ids"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        codec = _codec(source.value)
+        table = table.sort_by([("number", "ascending"), ("leaf", "ascending")])
+        out, word, at = [], [], None
+        for number, x in [*zip(table.column("number").to_pylist(), table.column("ids").to_pylist()), (None, b"")]:
+            if number != at and word:
+                out += codec.joined(word)
+                word = []
+            at = number
+            word.append(np.frombuffer(x, "<u4").tolist())
+        first = table.slice(0, 1).select([*keep, "__copies"])
+        return first.append_column("ids", pa.array([np.array(out, "<u4").tobytes()], pa.binary())).append_column("decoded", pa.array([codec.decode(out)], pa.string()))
+
+    parts = docs.mapInArrow(cut_up, ", ".join([*named, "number int, leaf int, last boolean, symbols string, ids binary"]))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = parts.repartition(n, "__row", "number", "leaf").mapInArrow(coded, ", ".join([*named, "number int, leaf int, ids binary"]))
+    made = ids.groupBy("__row", "__again").applyInArrow(whole, ", ".join([*named[: len(keep) + 1], "ids binary, decoded string"]))
+    return made.withColumn("__copies", F.explode(F.expr("sequence(1L, __copies)"))).drop("__copies")
 
 
 def op2_bpe(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -136,6 +136,24 @@ def test_bpe_on_hard_rows(hard, none, tokenizer):
     assert bpe.encode(none, path).count() == 0
 
 
+def test_bpe_leaves_in_parallel(spark, tokenizer, monkeypatch):
+    """Very long unsplit words as rows of leaves, among plain texts, equal rows and null ids."""
+    path, tok = tokenizer
+    monkeypatch.setattr(bpe, "LONG_RUN", 300)
+    monkeypatch.setattr(bpe, "LEAF_ROW", 16)
+    rnd = random.Random(11)
+    run = lambda n, of="abcdefgh": "".join(rnd.choice(of) for _ in range(n))
+    texts = ["plain text", "", None, run(300), "before " + run(700) + " between " + run(900, "!?-") + "<|endoftext|>after", "é中" * 400, "a" * 1001, run(5000)]
+    rows = [(i if i % 3 else None, t, i) for i, t in enumerate(texts)] + [(9, texts[3], 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    got = sorted((str(r.doc_id), r.extra, bytes(r.ids), r.decoded) for r in bpe.encode(df, path, keep=["extra"]).collect())
+    want = []
+    for i, t, x in rows:
+        e = tok.encode(t or "", add_special_tokens=False).ids
+        want.append((str(i), x, struct.pack(f"<{len(e)}I", *e), tok.decode(e, skip_special_tokens=False)))
+    assert got == sorted(want)
+
+
 # ---------------------------------------------------------------- 3: WARC
 def test_warc_round_trip_by_any_split(spark):
     rnd = random.Random(5)
