@@ -13,9 +13,11 @@ with fewer words the whole sequence is its one shingle.  Two documents link when
    |A| - alpha + 1 of either, alpha the overlap they need.
 5. Each list links its members to its first document only (light work, linear); links are verified against whole sets; classes
    follow as connected components.  Members inside the class of their list's first document need no test.
-6. A list whose members are then in several classes is mixed.  Members of short mixed lists are tested against each other.  Long ones
-   are split first: dealt into parts by the shingles' hashes, linked sets differ in so few shingles that some part is equal in both but
-   for one; so their documents are listed anew by (sizes, part, digest of three quarters of it), and only those that share one meet.
+6. A list whose members are then in several classes is mixed, and its members of different classes are tested against each other.
+   Where that would be many pairs for the entries of long lists, the long ones can be split: dealt into parts by the shingles' hashes,
+   linked sets differ in so few shingles that some part is equal in both but for one; so their documents are listed anew by (sizes,
+   part, digest of three quarters of it), and only those that share one meet.  Both ways find every link; the cheaper one, by the
+   numbers of pairs, is taken (parts tell documents of a few common passages apart, but not those that are nearly linked).
 
 Hot keys: a list or set that more than `SHARE` rows ask for is copied to as many tasks, and long lists are paired in blocks.
 
@@ -41,8 +43,8 @@ from .components import connected_components
 
 #: What scanning one list entry costs, in subsets hashed.
 SCAN_COST = 4
-#: Mixed lists with more members are split by parts.
-LONG = 8
+#: Mixed lists with more members can be split by parts; that is tried from so many pairs an entry on, and done if it makes so many times fewer.
+LONG, WORTH, FEWER = 8, 4, 4
 #: Rows of one key that a task gets, about.
 SHARE = 1000
 #: No boundary above this is tried: numbers of subsets rise steeply.
@@ -290,14 +292,26 @@ def _by_parts(num: int, den: int):
     return step
 
 
+def _cost(entries: DataFrame) -> tuple[int, int]:
+    """Entries of lists, and pairs of entries of different classes in them; entries: key, root."""
+    own = entries.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"))
+    per = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    r = per.agg(F.sum("n").alias("entries"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
+    return r.entries or 0, r.pairs or 0
+
+
 def _mixed_pairs(placed: DataFrame, sets: DataFrame, num: int, den: int, can: str) -> DataFrame:
     """Pairs (a, b) of different classes that meet in a list; placed: key, sk, n, pos, c (members of the list), root (class)."""
     roots = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("c").alias("c")).where("x <> y").select("key", "c")
     mixed = cut(dealt_join(placed.drop("c"), roots, "key", many(roots, "key", SHARE)))
-    far = mixed.where(F.col("c") > LONG).select("sk", "root").distinct()
-    enough = f"size(tokens) * {den} >= {num} * n"  # others have no partner
-    parts = sets.where(enough).join(far, "sk").select("sk", "n", "root", "tokens").mapInArrow(_by_parts(num, den), "key long, sk binary, n int, pos int, root binary")
-    entries = cut(mixed.where(F.col("c") <= LONG).select("key", "sk", "n", "pos", "root").union(parts))
+    entries = mixed.drop("c")
+    rows, pairs = _cost(mixed.where(F.col("c") > LONG))
+    if pairs > WORTH * rows:
+        far = mixed.where(F.col("c") > LONG).select("sk", "root").distinct()
+        enough = f"size(tokens) * {den} >= {num} * n"  # others have no partner
+        parts = sets.where(enough).join(far, "sk").select("sk", "n", "root", "tokens").mapInArrow(_by_parts(num, den), "key long, sk binary, n int, pos int, root binary")
+        if _cost(parts)[1] * FEWER < pairs:
+            entries = cut(mixed.where(F.col("c") <= LONG).select("key", "sk", "n", "pos", "root").union(parts))
     size = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", F.expr(f"1 + c div {SHARE}").alias("blocks"), "c")
     one = dealt_join(entries, size, "key", many(size, "key", SHARE)).drop("c")
     left = one.withColumn("block", F.pmod(F.xxhash64("sk"), F.col("blocks"))).drop("blocks")
