@@ -108,7 +108,7 @@ def slots_of(spark, blocks: list[int], slots: list[int], key: str) -> DataFrame:
     sums = runs.groupBy("sid", "run").agg(F.sum("c").alias("s"))
     got = {r.sid: r.s for r in sums.groupBy("sid").agg(F.sum("s").alias("s")).collect()}
     before = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy("sid", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = runs.withColumn("within", before("c", "run", "shard")).join(sums.withColumn("base", before("s", "run")), ["sid", "run"]).select("sid", "shard", (F.col("base") + F.col("within")).alias("start"))
+    starts = runs.withColumn("within", before("c", "run", "shard")).join(sums.withColumn("base", before("s", "run")).hint("merge"), ["sid", "run"]).select("sid", "shard", (F.col("base") + F.col("within")).alias("start"))
     own = [got.get(i, 0) for i in range(len(slots))]
     over, short, m, n = [], [], 0, 0  # what the sources before got too much, and too little
     for g, w in zip(own, slots):
@@ -116,7 +116,8 @@ def slots_of(spark, blocks: list[int], slots: list[int], key: str) -> DataFrame:
         short.append(n)
         m, n = m + max(0, g - w), n + max(0, w - g)
     due, have, past, lack, size = (_array(x, "bigint") for x in (slots, own, over, short, blocks))
-    s = drawn.join(starts, ["sid", "shard"]).withColumn("j", F.col("start") + F.col("k"))
+    # merge joins throughout: what is exploded from few shards is taken for small, and would be broadcast
+    s = drawn.join(starts.hint("merge"), ["sid", "shard"]).withColumn("j", F.col("start") + F.col("k"))
     s = s.withColumn("q", F.expr(f"if(j < get({due}, sid), null, get({past}, sid) + j - get({due}, sid))"))
     s = s.withColumn("to", F.expr(f"if(q is null, sid, size(filter({lack}, x -> x <= q)) - 1)"))
     s = s.withColumn("j", F.expr(f"if(q is null, j, get({have}, to) + q - get({lack}, to))"))
@@ -154,16 +155,16 @@ class Mixture:
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target and taken of every row."""
-        got = self.pieces.where("size > 0").join(self.slots.select("sid", "block", "slot"), ["sid", "block"], "left")
+        got = self.pieces.where("size > 0").join(self.slots.select("sid", "block", "slot").hint("merge"), ["sid", "block"], "left")
         some = got.groupBy("doc_id", "sid", "start", "size").agg(F.sum(F.when(F.col("slot").isNull(), 0).otherwise(F.col("n"))).cast("long").alias("taken")).select("doc_id", "sid", "size", "taken")
         # documents of size 0 stand at one start and give nothing: repeated rows stay
         none = self.docs.where("size = 0").select("doc_id", "sid", "size", F.lit(0).cast("long").alias("taken"))
-        of = self.plan.select("sid", "source_size", "target")
-        return some.union(none).join(of, "sid").select("doc_id", "size", "source_size", "target", "taken")
+        of = self.plan.select("sid", "source_size", "target")  # a row a source, which the driver has anyway
+        return some.union(none).join(F.broadcast(of), "sid").select("doc_id", "size", "source_size", "target", "taken")
 
     def output(self) -> DataFrame:
         """The mix itself: shard, slot, and the words (skip, n) of the documents in the slot's block."""
-        return self.slots.join(self.pieces.where("size > 0").select("sid", "block", "doc_id", "skip", "n"), ["sid", "block"]).select("shard", "slot", "sid", "block", "pass", "doc_id", "skip", "n")
+        return self.slots.hint("merge").join(self.pieces.where("size > 0").select("sid", "block", "doc_id", "skip", "n"), ["sid", "block"]).select("shard", "slot", "sid", "block", "pass", "doc_id", "skip", "n")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
