@@ -13,7 +13,7 @@ with fewer words the whole sequence is its one shingle.  Two documents link when
    |A| - alpha + 1 of either, alpha the overlap they need.
 5. Each list links its members to its first document only (light work, linear); links are verified against whole sets; classes
    follow as connected components.  Members inside the class of their list's first document need no test.
-6. A list whose members are then in several classes is mixed, and its members of different classes are tested against each other.
+6. A list whose other members are then in several classes is mixed, and those of different classes are tested against each other.
    Where that would be many pairs for the entries of long lists, the long ones can be split: dealt into parts by the shingles' hashes,
    linked sets differ in so few shingles that some part is equal in both but for one; so their documents are listed anew by (sizes,
    part, digest of three quarters of it), and only those that share one meet.  Both ways find every link; the cheaper one, by the
@@ -346,7 +346,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = cut(_verified(tested, sets, num, den))
     roots = connected_components(links)
 
-    placed = cut(near.where("c > 2").select("key", "sk", "n", "pos", "c").join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk")))
+    placed = cut(near.where("c > 2 and sk <> fsk").select("key", "sk", "n", "pos", "c").join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk")))
     rest = cut(_mixed_pairs(placed, sets, num, den, can).join(tested, ["a", "b"], "left_anti"))
     more = cut(_verified(rest, sets, num, den))
     if more.limit(1).count():
