@@ -320,7 +320,10 @@ def _mixed_pairs(placed: DataFrame, sets: DataFrame, num: int, den: int, can: st
 
 
 def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the documents it is linked with, over any number of links) of every row."""
+    """doc_id, n_shingles, component_id (smallest doc_id of the documents it is linked with, over any number of links) of every row; and class_key, which names the component where ids repeat (null for empty sets), with text_hash (xxhash64 of the text).
+
+    Lists and classes are led by the smallest id: work is least where that is the original of its near copies.
+    """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
     s = shard_count(docs, "text")
     base = cut(docs.mapInArrow(_keys_of(k), "doc_id long, th long, n int, sk binary"))
@@ -353,9 +356,10 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         roots = connected_components(links.union(more))
 
     named = classes.select("sk", F.col("doc_id").alias("least")).join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
-    ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sk", "component_id")
-    return base.join(ids, "sk", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sk").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sk", "component_id", F.col("root").alias("class_key"))
+    component = F.when(F.col("sk").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return base.join(ids, "sk", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "class_key", F.col("th").alias("text_hash"))
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
