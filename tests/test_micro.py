@@ -1,5 +1,7 @@
 """A graph of four tasks on three ranks, with answers worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,26 @@ def test_potts_joins_a_clique_and_splits_the_rest():
     assert clustering.potts([], [], 5.0) == {}
 
 
+def test_potts_moves_follow_the_objective_at_every_level():
+    def objective(edges, of, resolution):
+        sizes = [list(of.values()).count(c) for c in set(of.values())]
+        return sum(w for u, v, w in edges if of[u] == of[v]) - resolution * sum(n * (n - 1) / 2 for n in sizes)
+
+    # eight cliques of five in a ring: counted as one each, they would join for a link of 8
+    ring = [(5 * c + a, 5 * c + b, 10.0) for c in range(8) for a in range(5) for b in range(a)] + [(5 * c, (5 * c + 5) % 40 + 1, 8.0) for c in range(8)]
+    of = clustering.potts(list(range(40)), ring, 5.0)
+    assert {frozenset(x for x in of if of[x] == c) for c in of.values()} == {frozenset(range(5 * c, 5 * c + 5)) for c in range(8)}
+    assert objective(ring, clustering.potts(list(range(40)), ring, 5.0, by_tasks=False), 5.0) < objective(ring, of, 5.0) == 400
+    rnd = random.Random(3)
+    for _ in range(20):
+        edges = [(u, v, float(rnd.randint(1, 12))) for u in range(60) for v in range(u) if rnd.random() < 0.2]
+        assert objective(edges, clustering.potts(list(range(60)), edges, 5.0), 5.0) >= 0
+    # the move of a node of three tasks from a community of five to one of four
+    before, after = {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(5, 9), 1)}, {**dict.fromkeys(range(2), 0), **dict.fromkeys(range(2, 9), 1)}
+    links = [(2, 0, 4.0), (3, 6, 9.0), (2, 3, 1.0)]
+    assert clustering.move_gain(9, 4, 4, 5, 5.0, 3) == objective(links, after, 5.0) - objective(links, before, 5.0)
+
+
 def test_blocks_without_information_raise(t):
     lacking = model.Tables(t.task, t.edge, t.block.where("block_id <> 101"), t.task_block, t.rank_info)
     with pytest.raises(Exception, match="shared block 101"):
