@@ -1,7 +1,7 @@
 """Language ID, near-copy removal, repeat removal, mixing and tokenising of `documents`.
 
 Each stage takes the Parquet table that its predecessor wrote, works on all of it and returns the columns of documents; the last
-returns token ids.  Texts are cut only by the third stage, at whole characters.  Null ids pass through every stage; rows that
+returns token ids.  Texts are cut by the third stage, at whole characters, and by the fourth, before white space.  Null ids pass through every stage; rows that
 repeat an id are documents of their own in each; rows of one id and text are one document for the second stage.
 """
 
@@ -45,17 +45,9 @@ def remove_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as its source's target is worth whole rounds of the source, and once more those of the first
-    words of the source's pseudorandom stream that make up the rest: a source's words miss its target by half a document at most."""
-    docs = docs.withColumn("__row", F.xxhash64(*COLUMNS))
-    mix = mixing.Mixture(docs, doc_id="__row")
-    of = mix.plan.where("source_size > 0").select("sid", F.expr("target / source_size").alias("ratio"), "source_size")
-    more = "if(start + size / 2 < (ratio - floor(ratio)) * source_size, 1L, 0L)"
-    copies = mix.docs.where("size > 0").join(F.broadcast(of), "sid").withColumn("copies", F.expr(f"floor(ratio) + {more}"))
-    copies = copies.groupBy(F.col("doc_id").alias("__row")).agg(F.sum("copies").alias("copies")).where("copies > 0")
-    # equal rows are one here, with the copies of all of them
-    again = docs.dropDuplicates(["__row"]).join(copies, "__row")
-    return again.withColumn("pass", F.explode(F.expr("sequence(1L, copies)"))).select(*COLUMNS)
+    """The mix by blocks: a row for each document in a slot of the output, with its words in the slot's block, shard by shard in the order of slots."""
+    out = mixing.mixed(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def tokenize(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

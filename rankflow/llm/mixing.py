@@ -5,7 +5,8 @@ shorter).  A source is due as many slots of the output as its target is worth in
 of `SHARD_SLOTS` slots.  Every slot draws its source by the shares of all slots, so the counts of sources in a shard are multinomial; the
 draws that a source gets beyond its due, in the order of slots, go to the sources that fall short, in their order, so that the totals come out
 exactly.  The j-th slot of a source takes block p(j) of the source's own permutation p of its blocks (a second round over the blocks has
-another), and blocks are joined by index with the pieces of documents in them.  What a document gives is read from the joined blocks.
+another), and blocks are joined by index with the pieces of documents in them.  What a document gives is read from the joined blocks;
+`mixed` gives the mix itself, as text.
 
 Permutations are swap-or-not shuffles: keyed, exact on any number of items, and computed for each item by itself.
 
@@ -21,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._spark import cut
+from ._spark import cut, without
 from .quality_rules import words_of
 
 BLOCK = 64
 SHARD_SLOTS = 1024
 WEIGHTS = (5, 2, 1)
 ROUNDS = 12
+#: A word with the white space before it, the last one with that after it too: joined, the words of a text are the text.
+_SPACED = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++\z)?"
 
 
 def targets(sizes: list[int], weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -163,8 +166,31 @@ class Mixture:
         return some.union(none).join(F.broadcast(of), "sid").select("doc_id", "size", "source_size", "target", "taken")
 
     def output(self) -> DataFrame:
-        """The mix itself: shard, slot, and the words (skip, n) of the documents in the slot's block."""
-        return self.slots.hint("merge").join(self.pieces.where("size > 0").select("sid", "block", "doc_id", "skip", "n"), ["sid", "block"]).select("shard", "slot", "sid", "block", "pass", "doc_id", "skip", "n")
+        """The mix itself: shard, slot, and the words (skip, n) of the documents (in the stream from start) in the slot's block."""
+        return self.slots.hint("merge").join(self.pieces.where("size > 0").select("sid", "block", "doc_id", "start", "skip", "n"), ["sid", "block"]).select("shard", "slot", "sid", "block", "pass", "doc_id", "start", "skip", "n")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The table with __row: 128 bits that only equal rows share."""
+    every = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumn("__row", F.struct(F.xxhash64(*every).alias("a"), F.xxhash64(F.lit("again"), *every).alias("b")))
+
+
+def mixed(docs: DataFrame, source: str = "source", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The mix itself, a row for each document in a slot: shard, slot, at (place in the source's stream) and the document's columns, its text
+    cut to the words in the slot's block, with the white space before them, and after the last of the document.  A shard's rows lie in
+    one partition, in order.  Ids play no part: they may repeat or lack."""
+    docs = keyed(without(docs, ["shard", "slot", "at"], text))
+    pieces = Mixture(docs, "__row", source, text, block).output()
+    # a list for each document in a stream, so none is longer than its document; the text is joined and split once for all of a list
+    lists = pieces.groupBy(F.col("doc_id").alias("__row"), "start").agg(F.collect_list(F.struct("shard", "slot", "skip", "n")).alias("__pieces"))
+    cells = f"p -> struct(p.shard as shard, p.slot as slot, start + p.skip as at, array_join(slice(w, cast(p.skip as int) + 1, cast(p.n as int)), '') as `{text}`)"
+    rows = F.expr(f"get(transform(array(__words), w -> transform(__pieces, {cells})), 0)")
+    # equal rows are one here, with the lists of all of them
+    spaced = F.regexp_extract_all(F.col(text), F.lit(_SPACED), F.lit(0))
+    whole = docs.dropDuplicates(["__row"]).join(lists.hint("merge"), "__row").withColumn("__words", spaced)
+    out = whole.select(*[c for c in docs.columns if c not in (text, "__row")], F.inline(rows))
+    return out.repartition("shard").sortWithinPartitions("shard", "slot", "at").select("shard", "slot", "at", *[c for c in docs.columns if c != "__row"])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

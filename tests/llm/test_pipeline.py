@@ -1,11 +1,14 @@
 """The pipeline's stages by hand on a small table, and the registry."""
 
+import collections
 import random
+import re
 
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from rankflow.llm import mixing
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +61,37 @@ def test_mix_of_long_documents_meets_its_targets(spark, folder):
         assert abs(words.get(s, 0) - target) <= 450
 
 
+def test_mix_is_by_blocks(spark, folder):
+    """Each slot's block, cut out of its source's stream by hand; rows that lack an id, are equal, or differ in where a null stands."""
+    rnd = random.Random(4)
+    blank = lambda: rnd.choice([" ", "  ", "\n", "\t ", "\x0b", " \r\n"])
+    text = lambda n: rnd.choice(["", blank()]) + "".join(rnd.choice(["w", "été", "\U0001f600x", "a\x1cb", "\xa0"]) + str(rnd.randint(0, 99)) + blank() for _ in range(n)) + rnd.choice(["end", "", "\n\n"])
+    rows = [(i if i % 9 else None, text(rnd.choice([0, 1, 5, 64, 300])), rnd.choice(["en", None]), rnd.choice(["a", "a", "b", "c", None])) for i in range(150)]
+    rows += [(500, "same row " * 50, "en", "a")] * 4 + [(501, "x y " * 70, "a", None), (501, "x y " * 70, None, "a"), (502, None, "en", "a"), (503, " \n ", "en", "b")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mixed(docs).collect()
+    own = {(r["__row"].a, r["__row"].b): r for r in mixing.keyed(docs).collect()}
+    assert len(own) == len(set(rows))
+    mix, want, blocks = mixing.Mixture(mixing.keyed(docs), "__row"), {}, collections.defaultdict(list)
+    for d in mix.docs.where("size > 0").collect():
+        r, of = own[d.doc_id.a, d.doc_id.b], collections.defaultdict(str)
+        assert d["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        for i, w in enumerate(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\Z)?", r.text)):
+            of[(d.start + i) // mixing.BLOCK] += w
+        assert "".join(of.values()) == r.text
+        for b, t in of.items():
+            blocks[d.sid, b].append((max(d.start, b * mixing.BLOCK), (r.doc_id, t, r.lang, r.source)))
+    want = [(s.shard, s.slot, at, *row) for s in sorted(mix.slots.collect(), key=lambda s: s.slot) for at, row in sorted(blocks[s.sid, s.block], key=lambda x: x[0])]
+    assert sorted((r[:7] for r in got), key=lambda r: r[:3]) == want and len(want) > 300
+    # a shard's rows are together and in order
+    assert [(r.slot, r["at"]) for shard in dict.fromkeys(r.shard for r in got) for r in got if r.shard == shard] == [(r.slot, r["at"]) for r in got]
+    assert all(a.slot <= b.slot for a, b in zip(got, got[1:]) if a.shard == b.shard)
+    stage = corpus_pipeline.mix_sources(spark, docs, folder)
+    assert stage.dtypes == docs.dtypes
+    assert collections.Counter(map(tuple, stage.collect())) == collections.Counter((*r[3:], len(r[4])) for r in want)
+    assert corpus_pipeline.mix_sources(spark, docs.limit(0), folder).count() == 0
+
+
 def test_run_on_nothing(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
